@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, packing, token_counts
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op7_packing": packing.op7_packing,
     "op8_token_counts": token_counts.op8_token_counts,
 }
 

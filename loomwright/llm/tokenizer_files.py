@@ -39,7 +39,5 @@ def _load(kind: str, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(data.decode())
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_str(data.decode())
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
