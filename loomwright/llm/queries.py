@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, token_counts
+from . import bpe, kdshards, packing, token_counts
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_kd_shards": kdshards.op3_kd_shards,
     "op7_packing": packing.op7_packing,
     "op8_token_counts": token_counts.op8_token_counts,
 }
