@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, kdshards, packing, token_counts, warc
+from . import bpe, exact_dedup, kdshards, packing, token_counts, topk, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_kd_shards": kdshards.op3_kd_shards,
     "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_top_k": topk.op6_top_k,
     "op7_packing": packing.op7_packing,
     "op8_token_counts": token_counts.op8_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_top_k": topk.OP6_SQL,
 }
