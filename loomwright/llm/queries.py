@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, kdshards, packing, token_counts, topk, warc
+from . import bpe, exact_dedup, kdshards, packing, quality, token_counts, topk, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op3_kd_shards": kdshards.op3_kd_shards,
     "op4_warc": warc.op4_warc,
