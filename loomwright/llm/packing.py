@@ -28,34 +28,132 @@ SEQUENCE, WINDOW_SEQUENCES, MAX_QUEUES = 2048, 64, 1024
 
 
 class WordEncoder:
-    """Ids of texts, from a bounded memory of the ids of words.
+    """Ids of texts, from bounded memories of the ids of words and of their pre-tokens.
 
-    The tokenizer's pre-tokens hold no white space and its normaliser works within words, so a text's
-    ids are those of its words (here: cut at ASCII white space only) one after another.
+    For a tokenizer that lower-cases and drops white space, a text's ids are those of its words (here:
+    cut at ASCII white space only) one after another, and a word's ids those of its pre-tokens. Other
+    kinds of tokenizers get whole texts.
     """
 
-    MOST_KEPT, LONGEST_KEPT = 400_000, 48
+    MOST_WORDS, MOST_PARTS, LONGEST_KEPT = 600_000, 400_000, 48
 
     def __init__(self, tokenizer, width: str):
+        import json
+        import re
+
+        import numpy as np
+        import regex
+
         self.tokenizer, self.width = tokenizer, width
-        self.kept: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        config = json.loads(tokenizer.to_str())
+        self.pattern = _word_pattern(config)
+        if self.pattern:
+            vocabulary = tokenizer.get_vocab()
+            self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.is_end[[i for t, i in vocabulary.items() if t.endswith(config["model"]["end_of_word_suffix"])]] = True
+            self.mark = np.array([-1], "<i8").astype(width)  # between words; no id
+            # the pattern over Latin-1 characters, and over all
+            known = {c: "".join(re.escape(chr(x)) for x in range(256) if regex.match(c, chr(x))) for c in (r"\p{L}", r"\p{N}", r"\s")}
+            latin = self.pattern
+            for c, chars in known.items():
+                latin = latin.replace(c, chars)
+            self.find_latin = re.compile(latin + "|\n").findall
+            self.find = regex.compile(self.pattern + "|\n").findall
+            self.special = [t["content"] for t in config["added_tokens"]]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def many(self, texts: list[str]) -> list[bytes]:
+        if not self.pattern:
+            return self.whole(texts)
+        odd = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        if odd:
+            plain = self.many([t for t in texts if not any(s in t for s in self.special)])
+            for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
+                plain.insert(k, ids)
+            return plain
+        if len(self.words) > self.MOST_WORDS:
+            self.words.clear()
+        kept, words, found, missing = self.words, [], [], set()
+        for t in texts:
+            ws = t.encode().split()
+            ids = list(map(kept.get, ws))
+            if None in ids:
+                missing.update([w for w, i in zip(ws, ids) if i is None])
+            words.append(ws)
+            found.append(ids)
+        missing = list(missing)
+        got = dict(zip(missing, self._words([w.decode() for w in missing]), strict=True))
+        out = [b"".join([got[w] if i is None else i for w, i in zip(ws, ids)] if None in ids else ids) for ws, ids in zip(words, found)]
+        kept.update(got)
+        for w in missing:
+            if len(w) > self.LONGEST_KEPT:
+                del kept[w]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words that are all Latin-1 are lower-cased and cut together; for others the tokenizer normalises."""
+        latin = [w for w in words if w.isascii() or max(w) < "\u0100"]
+        ids = iter(self._cut(self.find_latin("\n".join([*latin, ""]).lower()), len(latin)))
+        if len(latin) == len(words):
+            return list(ids)
+        normal = self.tokenizer.normalizer.normalize_str
+        other = iter(self._cut(self.find("\n".join([*(normal(w) for w in words if not (w.isascii() or max(w) < "\u0100")), ""])), len(words) - len(latin)))
+        return [next(ids if w.isascii() or max(w) < "\u0100" else other) for w in words]
+
+    def _cut(self, parts: list[str], n: int) -> list[bytes]:
+        """The ids of each of ``n`` words from the pre-tokens of all, with a line feed after each word."""
+        import numpy as np
+
+        if len(self.parts) > self.MOST_PARTS:
+            self.parts.clear()
+        kept = self.parts
+        kept["\n"] = self.mark.tobytes()
+        missing = list(set(parts).difference(kept))
+        for k in range(0, len(missing), 500):
+            kept.update(zip(missing[k : k + 500], self._parts(missing[k : k + 500]), strict=True))
+        data = b"".join(map(kept.__getitem__, parts))
+        size, ids = self.mark.itemsize, np.frombuffer(data, self.width)
+        ends = (np.flatnonzero(ids == self.mark[0]) * size).tolist()
+        if len(ends) != n:
+            raise RuntimeError("words and ids don't match")
+        for p in missing:
+            if len(p) > self.LONGEST_KEPT:
+                del kept[p]
+        return [data[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)] if n else []
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, encoded in one text: each ends with the only id of its that ends a word."""
         import numpy as np
 
-        words = [t.encode().split() for t in texts]
-        if len(self.kept) > self.MOST_KEPT:
-            self.kept.clear()
-        kept = self.kept
-        missing = list({w for ws in words for w in ws if w not in kept})
-        got = {}
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.width).tobytes()
-                (kept if len(w) <= self.LONGEST_KEPT else got)[w] = ids
-        find = (kept | got).__getitem__ if got else kept.__getitem__
-        return [b"".join(map(find, ws)) for ws in words]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.width)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(parts):
+            return self.whole(parts)
+        size, data, starts = ids.itemsize, ids.tobytes(), [0, *ends[:-1].tolist()]
+        return [data[a * size : b * size] for a, b in zip(starts, ends.tolist(), strict=True)]
+
+
+def _word_pattern(config: dict) -> str | None:
+    """The pre-token pattern if the tokenizer is of the kind whose words can be encoded one by one: NFC, runs
+    of white space to one space, lower case; matches of a pattern without white space; words with an end mark."""
+    normal = config.get("normalizer") or {}
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [])]
+    pre = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    if steps != [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)] or len(pre) != 2 or config.get("post_processor"):
+        return None
+    split, level = pre
+    if split["type"] != "Split" or split["pattern"].get("Regex") != known or split["behavior"] != "Removed" or not split["invert"]:
+        return None
+    if level["type"] != "ByteLevel" or level["add_prefix_space"] or level["use_regex"] or not config["model"].get("end_of_word_suffix"):
+        return None
+    return known
 
 
 _ENCODERS: dict = {}
@@ -67,7 +165,7 @@ def _tokenise(tokenizer: TokenizerFile, end_id: int, id_schema: list):
 
         if tokenizer.version not in _ENCODERS:
             t = tokenizer.load()
-            _ENCODERS[tokenizer.version] = WordEncoder(t, "<u2" if max(t.get_vocab_size(), end_id + 1) <= 65536 else "<u4")
+            _ENCODERS[tokenizer.version] = WordEncoder(t, "<u2" if max(t.get_vocab_size(), end_id + 1) < 65536 else "<u4")
         e = _ENCODERS[tokenizer.version]
         size, end = np.dtype(e.width).itemsize, np.array([end_id], e.width).tobytes()
         given: dict[str, int] = {}  # tokens of each queue so far in this task
