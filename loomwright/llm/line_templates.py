@@ -101,11 +101,11 @@ raw AS (
 ), parsed AS (
   SELECT leaf, m, any_value(tokens) AS tokens FROM seen SEMI JOIN busy USING (leaf) GROUP BY leaf, m
 ), token AS (
-  SELECT leaf, m, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS at FROM parsed
+  SELECT leaf, m, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS pos FROM parsed
 ), most AS (
-  SELECT leaf, at, max(n) AS most FROM (SELECT leaf, at, t, count(*) AS n FROM token GROUP BY leaf, at, t) GROUP BY leaf, at
+  SELECT leaf, pos, max(n) AS most FROM (SELECT leaf, pos, t, count(*) AS n FROM token GROUP BY leaf, pos, t) GROUP BY leaf, pos
 ), fields AS (
-  SELECT leaf, list(at ORDER BY at) FILTER (most * 2 > k) AS fixed
+  SELECT leaf, list(pos ORDER BY pos) FILTER (most * 2 > k) AS fixed
   FROM most JOIN (SELECT leaf, count(*) AS k FROM parsed GROUP BY leaf) USING (leaf)
   GROUP BY leaf HAVING count(*) FILTER (most * 2 > k) >= {constant} * count(*)
 ), templates AS (
