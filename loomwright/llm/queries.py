@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, kdshards, line_templates, packing, quality, token_counts, topk, warc
+from . import bpe, exact_dedup, kdshards, line_templates, ngram_join, packing, quality, token_counts, topk, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_top_k": topk.op6_top_k,
     "op7_packing": packing.op7_packing,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_line_templates": line_templates.op10_line_templates,
 }
 
