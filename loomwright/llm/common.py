@@ -37,9 +37,9 @@ def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` doesn't have, whatever the case."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, base: str, *also: str) -> str:
+    """A column name that neither ``df`` has nor ``also`` lists, whatever the case."""
+    taken = {c.lower() for c in (*df.columns, *also)}
     while base.lower() in taken:
         base += "_"
     return base

@@ -15,17 +15,22 @@ from pyspark.sql import functions as F
 from .common import fresh, stored, text_or_empty
 
 DEPTH, MIN_DOCS, CONSTANT = 3, 10, 0.6
+MOST_BROADCAST = 500_000  # rows of two hashes
 BLANK = r"[ \t\r\f\x0b]+"
 
 
 def masked(line: Column) -> Column:
-    """The line with one space between tokens and a mark for each token that holds a digit."""
+    """The line with one space between tokens and a mark for each token that holds a digit. Most lines are so
+    already, and one search tells."""
     one = F.trim(F.regexp_replace(line, BLANK, " "))
-    return F.when(one.rlike("[0-9]"), F.regexp_replace(one, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(one)
+    odd = line.rlike(r"[0-9\t\r\f\x0b]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.regexp_replace(one, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
-def _leaf(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+def _leaf(line: Column, depth: int) -> Column:
+    """The number of tokens and the leading ones of a masked line, without cutting it up."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.xxhash64(spaces, F.substring_index(line, " ", depth))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, constant: float) -> DataFrame:
@@ -33,15 +38,18 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min
     are one document here, so exact copies neither recur nor weigh."""
     text = text_or_empty(text_col)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    lines = base.select("id", F.xxhash64("text").alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("id", "doc", masked(F.col("line")).alias("m")).filter("m != ''")
-    lines = lines.select("id", "doc", "m", F.split("m", " ").alias("tokens")).select("id", "doc", F.xxhash64("m").alias("line"), _leaf(F.col("tokens"), depth).alias("leaf"), "tokens")
+    lines = base.select("id", F.xxhash64("text").alias("doc"), F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"[^ \t\r\f\x0b]")).select("id", "doc", masked(F.col("line")).alias("m"))
+    lines = lines.select("id", "doc", "m", F.xxhash64("m").alias("line"), _leaf(F.col("m"), depth).alias("leaf"))
     seen = stored(lines.groupBy("leaf", "line", "doc").agg(F.min("id").alias("id")), "line-occurrences")
 
     # leaves that enough documents reach by more than one line
     busy = seen.groupBy("leaf", "doc").agg(F.min("line").alias("a"), F.max("line").alias("b")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).filter((F.col("n") >= min_docs) & (F.col("a") != F.col("b")))
-    wanted = seen.join(busy.select("leaf"), "leaf", "left_semi").select("leaf", "line").distinct()
+    wanted = stored(seen.join(busy.select("leaf"), "leaf", "left_semi").select("leaf", "line").distinct(), "line-wanted")
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     # a row for each distinct line of these leaves, with its tokens' hashes
-    parsed = stored(lines.select("leaf", "line", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")).join(wanted, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")), "line-leaves")
+    parsed = lines.select("leaf", "line", "m").join(wanted, ["leaf", "line"], "left_semi").select("leaf", "line", F.transform(F.split("m", " "), lambda t: F.xxhash64(t)).alias("tokens"))
+    parsed = stored(parsed.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")), "line-leaves")
     size = parsed.groupBy("leaf").agg(F.count("*").alias("k"))
     most = parsed.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").count().groupBy("leaf", "at").agg(F.max("count").alias("most"))
     fields = most.join(size, "leaf").groupBy("leaf").agg(F.collect_list(F.when(F.col("most") * 2 > F.col("k"), F.col("at"))).alias("fixed"), F.count("*").alias("n")).filter(F.size("fixed") >= constant * F.col("n"))
@@ -65,16 +73,16 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     once, to meet their lists of lines.
     """
     gone = recurring_lines(docs, id_col, text_col, depth, min_docs, constant)
-    key, lines = fresh(docs, "_doc"), fresh(docs, "_lines")
+    key, lines = fresh(docs, "_doc", *(counts or ())), fresh(docs, "_gone", *(counts or ()))
     joined = docs.withColumn(key, F.xxhash64(text_or_empty(text_col))).join(gone.select(F.col("doc").alias(key), F.col("lines").alias(lines)), key, "left")
-    split = F.split(F.col(f"`{text_col}`"), "\n")
-    left = F.filter(split, lambda x: ~F.array_contains(F.col(lines), F.xxhash64(masked(x))))
+    split, left = F.split(F.col(f"`{text_col}`"), "\n"), fresh(joined, "_left", *(counts or ()))
+    joined = joined.withColumn(left, F.when(F.col(lines).isNotNull(), F.filter(split, lambda x: ~F.array_contains(F.col(lines), F.xxhash64(masked(x))))))
     kept = F.when(F.col(lines).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n"))
     columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        n = F.coalesce(F.size(split), F.lit(1))
-        n = F.when(F.col(f"`{text_col}`").isNull(), 1).otherwise(n)
-        columns += [n.alias(counts[0]), F.when(F.col(lines).isNull(), 0).otherwise(F.size(split) - F.size(left)).alias(counts[1])]
+        breaks = F.length(F.col(f"`{text_col}`")) - F.length(F.replace(F.col(f"`{text_col}`"), F.lit("\n"), F.lit("")))
+        n = F.coalesce(breaks + 1, F.lit(1))
+        columns += [n.alias(counts[0]), F.when(F.col(lines).isNull(), 0).otherwise(n - F.size(left)).alias(counts[1])]
     return joined.select(*columns)
 
 
