@@ -20,47 +20,98 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import fresh, stored, text_or_empty
-from .graph import components
+from .graph import Forest, components
 
 WORDS, NUM, DEN = 5, 75, 100  # n-gram length; links have DEN * intersection >= NUM * union
 LOCALLY_COMMON, MOST_COMMON, BLOCK_NGRAMS = 3, 1_000_000, 4_000_000
-LONG_LIST, TRIE_SETS, HUBS, POSTINGS_A_TASK = 32, 256, 8, 1_000_000
+LONG_LIST, TRIE_SETS, HUBS, POSTINGS_A_TASK = 256, 256, 8, 1_000_000
+MOST_BROADCAST = 1_000_000  # rows of one hash
+LARGE_SET, MORE_SHARED = 600, 12  # sets of so many n-grams must share a twelfth of them in longer prefixes
 POSTING = [("h", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")]
 
 
 class Shingler:
-    """Hashes of the distinct n-grams of a text, ascending."""
+    """Hashes of the distinct n-grams of texts, ascending.
 
-    MOST_KEPT = 500_000
-    ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
+    All texts of a batch are hashed together: a word's hash is a sum of its bytes' values times powers of an
+    odd number (mod 2^64), taken from running sums and mixed; an n-gram's hash chains those of its words.
+    """
+
+    BATCH_BYTES, BASE = 1_000_000, 0x9E3779B97F4A7C15
 
     def __init__(self, words: int = WORDS):
-        self.words, self.kept = words, {}
+        import numpy as np
+
+        self.words = words
+        self.value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        import numpy as np
+
+        if len(self.power) < n:
+            for name, base in (("power", self.BASE), ("inverse", pow(self.BASE, -1, 2**64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x, dtype=np.uint64))
+
+    def batches(self, texts: list[bytes]):
+        """(index, set) of each text."""
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= self.BATCH_BYTES):
+                size += len(texts[stop]) + 1
+                stop += 1
+            yield from zip(range(at, stop), self._sets(texts[at:stop]), strict=True)
+            at = stop
 
     def __call__(self, text: str):
+        return next(self.batches([text.encode()]))[1]
+
+    def _sets(self, texts: list[bytes]):
         import numpy as np
-        import xxhash
-
-        words = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.kept) > self.MOST_KEPT:
-            self.kept.clear()
-        kept = self.kept
-        h = list(map(kept.get, words))
-        if None in h:
-            for k, w in enumerate(words):
-                if h[k] is None:
-                    h[k] = kept[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array(h, np.uint64)
-        n = min(self.words, len(h))
-        x = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            x = (x + h[k : len(h) - n + 1 + k]) * np.uint64(self.ODD[k % 6])
-            x ^= x >> np.uint64(29)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return np.unique(x ^ (x >> np.uint64(32)))
+
+        k = self.words
+        data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)  # bytes: A-Z only
+        self._powers(len(data))
+        solid = ~self.space[data]
+        edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        starts, ends = edge[::2], edge[1::2]
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], dtype=np.uint64, out=run[1:])
+        words = _mix((run[ends] - run[starts]) * self.inverse[starts])
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        first = np.searchsorted(starts, begins)
+        grams = np.full(max(0, len(words) - k + 1), k, np.uint64)
+        for j in range(k):
+            grams = (grams + words[j : len(words) - k + 1 + j]) * np.uint64(self.BASE)
+            grams ^= grams >> np.uint64(29)
+        grams = _mix(grams)
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= k:
+                x = np.sort(grams[a : b - k + 1])
+            elif b == a:
+                x = np.empty(0, np.uint64)
+            else:
+                x = np.full(1, b - a, np.uint64)
+                for j in range(a, b):
+                    x = (x + words[j]) * np.uint64(self.BASE)
+                    x ^= x >> np.uint64(29)
+                x = _mix(x)
+            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x)
+        return out
+
+
+def _mix(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
 def set_key(s) -> int:
@@ -71,15 +122,54 @@ def set_key(s) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def commonness(common, s):
-    """How often each n-gram of ``s`` was counted among the common ones, 0 for all others."""
-    import numpy as np
+class Order:
+    """The global order of n-grams: how often each was counted among the common ones (0 for all others), then
+    by hash."""
+
+    def __init__(self, grams, counts):
+        import numpy as np
+
+        self.grams, self.counts = grams, counts
+        self.some = np.zeros(1 << 22, bool)  # by leading bits: most n-grams need no search
+        self.some[(grams >> np.uint64(42)).astype(np.int64)] = True
+
+    def counted(self, s):
+        import numpy as np
+
+        out = np.zeros(len(s), np.int64)
+        maybe = np.flatnonzero(self.some[(s >> np.uint64(42)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.grams, s[maybe]), len(self.grams) - 1)
+            out[maybe] = np.where(self.grams[at] == s[maybe], self.counts[at], 0)
+        return out
+
+    def first(self, s, n: int):
+        """The first n of a set given in ascending order."""
+        import numpy as np
+
+        counted = self.counted(s)
+        rare = s[counted == 0]
+        if len(rare) >= n:
+            return rare[:n]
+        common, counted = s[counted > 0], counted[counted > 0]
+        return np.concatenate([rare, common[np.argsort(counted, kind="stable")][: n - len(rare)]])
+
+    def common_first(self, s):
+        import numpy as np
+
+        return s[np.argsort(-self.counted(s), kind="stable")]
+
 
-    grams, counts = common
-    if not len(grams):
-        return np.zeros(len(s), np.int64)
-    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
-    return np.where(grams[at] == s, counts[at], 0)
+_ORDERS: dict = {}
+
+
+def _order(broadcast) -> Order:
+    """The broadcast order, once for each worker."""
+    key = id(broadcast.value[0])
+    if key not in _ORDERS:
+        _ORDERS.clear()
+        _ORDERS[key] = Order(*broadcast.value)
+    return _ORDERS[key]
 
 
 def prefix_length(n, num: int, den: int):
@@ -87,6 +177,13 @@ def prefix_length(n, num: int, den: int):
     return n - (-(-n * num // den)) + 1
 
 
+def must_share(n):
+    """How many n-grams two similar sets, the smaller of n, share in prefixes that are longer by that less one."""
+    import numpy as np
+
+    return np.where(n < LARGE_SET, 1, n // MORE_SHARED)
+
+
 def _describe(words: int):
     """A row per document (kind 0: id, doc, key, n) and per locally common n-gram (kind 1: key, n)."""
 
@@ -106,8 +203,7 @@ def _describe(words: int):
         for b in batches:
             id_type = b.column("id").type
             keys, sizes = [], []
-            for text in b.column("text").to_pylist():
-                s = shingle(text)
+            for _, s in shingle.batches(b.column("text").to_pylist()):
                 key = set_key(s) if len(s) else 0
                 keys.append(key)
                 sizes.append(len(s))
@@ -168,7 +264,7 @@ def _send(common, parts: int, num: int, den: int, words: int):
     def run(batches):
         import numpy as np
 
-        shingle, order, held, size, seen = Shingler(words), common.value, [], 0, set()
+        shingle, order, held, size, seen = Shingler(words), _order(common), [], 0, set()
 
         def flush():
             postings, begin, length = _lists(np.concatenate(held))
@@ -191,14 +287,12 @@ def _send(common, parts: int, num: int, den: int, words: int):
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(data, pa.binary()), pa.array(e, pa.binary())], names=["part", "postings", "edges"])
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                s = shingle(text)
+            for _, s in shingle.batches(b.column("text").to_pylist()):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                weight = commonness(order, s)
-                own = np.zeros(prefix_length(len(s), num, den), POSTING)
-                own["h"], own["k"], own["n"], own["p"] = s[np.lexsort((s, weight))[: len(own)]], key, len(s), np.arange(len(own))
+                own = np.zeros(prefix_length(len(s), num, den) + int(must_share(len(s))) - 1, POSTING)
+                own["h"], own["k"], own["n"], own["p"] = order.first(s, len(own)), key, len(s), np.arange(len(own))
                 held.append(own)
                 size += len(own)
                 if size > POSTINGS_A_TASK:
@@ -210,27 +304,6 @@ def _send(common, parts: int, num: int, den: int, words: int):
     return run
 
 
-class Forest:
-    """Union-find with the least key as root."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-    def rows(self):
-        return [(x, self.root(x)) for x in list(self.up)]
-
-
 def _edge_batches(pairs):
     for k in range(0, len(pairs), 50_000):
         a, b = zip(*pairs[k : k + 50_000], strict=True)
@@ -245,8 +318,10 @@ def may_link(n1, p1, n2, p2, num: int, den: int):
     return (n1 * den >= n2 * num) & (p1 <= n1 - (-(-2 * n1 * num // (num + den)))) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
 
 
-def _meet(num: int, den: int):
-    """One part's postings: candidate edges, contracted to stars."""
+def _meet(num: int, den: int, parts: int):
+    """One part's postings: candidate edges, contracted to stars. Pairs that must share more n-grams than there
+    are parts share several in at least one part; there they are counted. (N-grams of long lists aren't, but
+    such a list joins all of its sets that may be similar.)"""
 
     def run(batches):
         import numpy as np
@@ -272,12 +347,23 @@ def _meet(num: int, den: int):
             many = (length > 1) & (length <= LONG_LIST)
             postings = postings[np.repeat(many, length)]
             n, p = postings["n"].astype(np.int64), postings["p"].astype(np.int64)
+            key, often, counted = postings["k"], -(-must_share(n) // parts), []
             for d in range(1, LONG_LIST):
                 i = np.flatnonzero(postings["h"][d:] == postings["h"][:-d])
                 if not len(i):
                     break
+                i = i[n[i] * den >= n[i + d] * num]
+                many = often[i] > 1
+                if many.any():
+                    m = i[many]
+                    counted.append(np.stack([key[m], key[m + d], often[m]], 1))
+                i = i[~many]
                 i = i[may_link(n[i], p[i], n[i + d], p[i + d], num, den)]
-                for x, y in np.unique(np.stack([postings["k"][i], postings["k"][i + d]], 1), axis=0).tolist():
+                for x, y in np.unique(np.stack([key[i], key[i + d]], 1), axis=0).tolist():
+                    forest.join(x, y)
+            if counted:
+                pairs, times = np.unique(np.concatenate(counted), axis=0, return_counts=True)
+                for x, y in pairs[times >= pairs[:, 2]][:, :2].tolist():
                     forest.join(x, y)
         yield from _edge_batches(forest.rows())
 
@@ -340,24 +426,21 @@ def _deep_enough(n: int) -> None:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * n + 2000))
 
 
-def _solve(common, num: int, den: int):
-    """Groups of sets, one after another (rows: grp, role, key, label, grams): links as edges. Role 1 rows are
+def _solve(common, num: int, den: int, words: int):
+    """Groups of sets, one after another (rows: grp, role, key, label, text): links as edges. Role 1 rows are
     joined with all rows of the group; role 0 rows only with those of role 1. Equal labels are joined already."""
 
     def run(batches):
-        import numpy as np
-
-        order = common.value
+        order, shingle = _order(common), Shingler(words)
 
         def solve(rows):
             forest = Forest()
             for _, key, label, _ in rows:
                 forest.join(key, label)
             known = dict(forest.up)
-            sets = [np.frombuffer(g, "<u8") for *_, g in rows]
-            keys = [r[1] for r in rows]
+            sets, keys = [s for _, s in shingle.batches([r[3] for r in rows])], [r[1] for r in rows]
             _deep_enough(len(rows))
-            trie = Trie([s[np.lexsort((s, -commonness(order, s)))] for s in sets], num, den)
+            trie = Trie([order.common_first(s) for s in sets], num, den)
             for k, (role, key, _, _) in enumerate(rows):
                 if role:
                     trie.walk(sets[k], lambda x: forest.root(keys[x]) == forest.root(key), lambda x: forest.join(key, keys[x]))  # noqa: B023
@@ -365,7 +448,7 @@ def _solve(common, num: int, den: int):
 
         out, rows, grp = [], {}, None
         for b in batches:
-            for g, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "role", "key", "label", "grams")), strict=True):
+            for g, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "role", "key", "label", "text")), strict=True):
                 if g != grp:
                     if len(rows) > 1:
                         out += solve(list(rows.values()))
@@ -382,17 +465,6 @@ def _solve(common, num: int, den: int):
     return run
 
 
-def _grams(words: int):
-    def run(batches):
-        shingle = Shingler(words)
-        for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                own = b.slice(k, 2000)
-                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("comp"), pa.array([shingle(t).tobytes() for t in own.column("text").to_pylist()], pa.binary())], names=["key", "comp", "grams"])
-
-    return run
-
-
 class NgramJoin:
     """The join of one table: ``docs`` has a row per document (id, doc: hash of the text, key: of its set, n) and
     ``roots`` (key, root) the linked sets; sets that aren't in it are alone."""
@@ -421,7 +493,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_or_empty(text_col)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     described = T.StructType([T.StructField("kind", T.IntegerType()), base.schema["id"], *(T.StructField(c, T.LongType()) for c in ("doc", "key", "n"))])
-    rows = stored(base.withColumn("doc", F.xxhash64("text")).mapInArrow(_describe(words), described), "ngram-docs")
+    raw = base.withColumn("doc", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
+    rows = stored(raw.mapInArrow(_describe(words), described), "ngram-docs")
     described = rows.filter("kind = 0").select("id", "doc", "key", "n")
     grams = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(MOST_COMMON).toArrow()
     import numpy as np
@@ -430,29 +503,30 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by = np.argsort(h)
     common = spark.sparkContext.broadcast((h[by], n[by]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = described.agg(F.sum(F.col("n") * (den - num) / den + 1)).first()[0] or 0
+    total = described.agg(F.sum(F.col("n") * ((den - num) / den + 1 / MORE_SHARED) + 1)).first()[0] or 0
     parts = max(parts, math.ceil(total / POSTINGS_A_TASK))
 
-    sent = base.mapInArrow(_send(common, parts, num, den, words), "part int, postings binary, edges binary")
-    candidates = sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(num, den), "a long, b long")
+    sent = raw.select("text").mapInArrow(_send(common, parts, num, den, words), "part int, postings binary, edges binary")
+    candidates = sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(num, den, parts), "a long, b long")
     groups = components(candidates)
     groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "ngram-groups")
 
-    # the sets of the candidates, from one text of each
-    needed = described.groupBy("key").agg(F.min("doc").alias("doc")).join(groups.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key")
-    texts = base.groupBy(F.xxhash64("text").alias("doc")).agg(F.first("text").alias("text")).join(needed, "doc").select("key", "comp", "text")
-    sets = stored(texts.mapInArrow(_grams(words), "key long, comp long, grams binary"), "ngram-sets")
+    # one text of each candidate
     size = groups.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
-    small = sets.join(size.filter(F.col("size") <= TRIE_SETS).select("comp"), "comp", "left_semi")
-    solve = lambda x: x.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_solve(common, num, den), "a long, b long")
-    shape = lambda x, grp, role: x.select(grp.alias("grp"), F.lit(role).alias("role"), "key", F.col("label"), "grams")
+    needed = described.groupBy("key").agg(F.min("doc").alias("doc")).join(groups.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key").join(size, "comp")
+    needed = stored(needed, "ngram-needed")
+    few = F.broadcast(needed.select("doc")) if needed.count() <= MOST_BROADCAST else needed.select("doc")
+    texts = raw.select("doc", "text").join(few, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    sets = stored(texts.join(needed, "doc").select("key", "comp", "size", "text"), "ngram-texts")
+    solve = lambda x: x.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_solve(common, num, den, words), "a long, b long")
+    shape = lambda x, grp, role: x.select(grp.alias("grp"), F.lit(role).alias("role"), "key", F.col("label"), "text")
     one = lambda x: x.withColumn("label", F.col("key"))
-    links = stored(solve(shape(one(small), F.struct("comp", F.lit(0).alias("x"), F.lit(0).alias("y")).cast("string"), 1)), "ngram-links")
+    links = solve(shape(one(sets.filter(F.col("size") <= TRIE_SETS)), F.struct("comp", F.lit(0).alias("x"), F.lit(0).alias("y")).cast("string"), 1))
     roots = links.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
-    large = stored(size.filter(F.col("size") > TRIE_SETS).withColumn("blocks", F.ceil(F.col("size") / TRIE_SETS).cast("int")), "ngram-large")
+    large = stored(size.filter(F.col("size") > TRIE_SETS).select("comp", F.ceil(F.col("size") / TRIE_SETS).cast("int").alias("blocks")), "ngram-large")
     if not large.isEmpty():
-        roots = roots.unionByName(_large_groups(sets, large, shape, one, solve))
+        roots = roots.unionByName(_large_groups(sets.filter(F.col("size") > TRIE_SETS).drop("size"), large, shape, one, solve))
     return NgramJoin(described, stored(roots, "ngram-roots"))
 
 

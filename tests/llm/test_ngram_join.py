@@ -91,6 +91,34 @@ def test_trie_finds_all_links(seed):
         assert found == {j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))}
 
 
+def test_large_sets(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    shared = [[word() for _ in range(60)] for _ in range(6)]
+    rows = []
+    for f in range(12):
+        base = [word() for _ in range(r.randrange(700, 2500))]
+        for p in r.sample(shared, 3):
+            base[100:100] = p
+        for copy in range(r.choice([1, 2, 4])):
+            w = list(base)
+            for _ in range(r.choice([5, 20, 60]) if copy else 0):
+                w[r.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    assert Counter(map(tuple, N.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())) == brute(rows)
+
+
+def test_longer_prefixes_share_as_many_as_they_must():
+    r = random.Random(3)
+    for _ in range(300):
+        a = set(r.sample(range(6000), r.randrange(600, 3000)))
+        b = {x for x in a if r.random() < 0.93} | set(r.sample(range(6000), r.randrange(0, 120)))
+        a, b = sorted((sorted(a), sorted(b)), key=len)
+        if 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b)):
+            first = [set(x[: N.prefix_length(len(x), 75, 100) + int(N.must_share(len(x))) - 1]) for x in (a, b)]
+            assert len(first[0] & first[1]) >= int(N.must_share(len(a)))
+
+
 def test_prefixes_lose_nothing():
     r = random.Random(1)
     for _ in range(3000):
