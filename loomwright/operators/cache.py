@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,13 +19,6 @@ def with_hash(df: DataFrame, query_col: str = "query_text") -> DataFrame:
     return df.withColumn("query_hash", X.cache_hash(*(F.col(c) for c in SCOPE), F.col(query_col)))
 
 
-def same_scope(a: DataFrame, b: DataFrame) -> Column:
-    out = F.lit(True)
-    for c in SCOPE:
-        out = out & a[c].eqNullSafe(b[c])
-    return out
-
-
 def exact_hits(requests: DataFrame, cache: DataFrame, as_of: datetime.datetime, ttl: int) -> DataFrame:
     live = fresh_rows(cache, as_of, ttl).select("query_hash", "answer")
     return with_hash(requests).join(live, "query_hash").select("request_id", "answer", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
@@ -34,7 +27,12 @@ def exact_hits(requests: DataFrame, cache: DataFrame, as_of: datetime.datetime,
 def semantic_hits(requests: DataFrame, cache: DataFrame, as_of: datetime.datetime, ttl: int, threshold: float = 0.9, pool: int = 200) -> DataFrame:
     """Of the scope's ``pool`` newest live entries the most similar, if similar enough."""
     live = newest_per_key(fresh_rows(cache, as_of, ttl).filter("query_embedding is not null"), SCOPE, [F.col("created_at").desc(), F.col("query_hash")], pool)
-    pairs = requests.join(live, same_scope(requests, live)).select("request_id", "answer", live["query_hash"], V.cosine(requests["query_embedding"], live["query_embedding"]).alias("similarity"))
+    live = live.select(*[F.col(c).alias(f"_{c}") for c in (*SCOPE, "query_hash", "query_embedding")], "answer")
+    same = F.lit(True)
+    for c in SCOPE:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    asked = requests.select("request_id", *SCOPE, "query_embedding")
+    pairs = asked.join(live, same).select("request_id", "answer", F.col("_query_hash").alias("query_hash"), V.cosine(F.col("query_embedding"), F.col("_query_embedding")).alias("similarity"))
     best = Window.partitionBy("request_id").orderBy(F.col("similarity").desc(), "query_hash")
     return pairs.filter(F.col("similarity") >= threshold).withColumn("_nth", F.row_number().over(best)).filter("_nth = 1").select("request_id", "answer", F.lit("semantic").alias("kind"), "similarity")
 

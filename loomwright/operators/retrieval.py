@@ -115,10 +115,10 @@ def model_rerank(hits: DataFrame, predict, k: int) -> DataFrame:
     """Rerank with a model: ``predict(queries, contents)`` gets two pandas Series and returns scores."""
     import pandas as pd
 
-    def run(query: pd.Series, content: pd.Series) -> pd.Series:
+    def run(query, content):
         return pd.Series(predict(query, content), dtype="float64")
 
-    udf = F.pandas_udf(run, "double")
+    udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)
     return ranked(hits.select("query_id", "doc_id", udf("query", "content").alias("score"), F.col("rank").alias("position")), top_k_of(k), tie="position")
 
 
