@@ -12,11 +12,12 @@ from ..functions import vectors as V
 from ..operators import cache as C
 from ..operators import chunks as K
 from ..operators import evaluation as E
-from ..operators import guard, memory, metrics
+from ..operators import guard, memory, metrics, models
 from ..operators import relational as R
 from ..operators import retrieval as T
 from ..sources import sinks
 from ..streaming import rate_limit, windows
+from . import flows
 from .views import AS_OF, ORDERS_AS_OF, Tables, with_views
 
 QUERIES: dict = {}
@@ -345,6 +346,33 @@ def f18_pseudonym(t):
     return t.users.select("id", X.pseudonym(F.col("username")).alias("pseudonym"))
 
 
+@query(f"SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), lambda w: length(w) > 1)) AS tokens FROM documents")
+def f4_f5_plain_tokens(t):
+    return t.documents.select("doc_id", F.size(F.array_distinct(X.plain_tokens(F.col("text"), 2))).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Ann Lee ' || CAST(doc_id AS STRING) WHEN doc_id % 3 = 1 THEN 'Bob ' || CAST(doc_id AS STRING) ELSE 'my resume' END AS candidate FROM documents")
+def f9_candidate_name(t):
+    d, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    filename = F.when(d == 0, F.concat(F.lit("cv/Ann_Lee-"), n, F.lit(".pdf"))).otherwise("my_resume.pdf")
+    text = F.when(d == 1, F.concat(F.lit("Resume\n Name: Bob "), n, F.lit("\nmore"))).otherwise("nothing")
+    return t.documents.select("doc_id", X.candidate_name(filename, text).alias("candidate"))
+
+
+@query(f"SELECT conv_id, turn, text = '' OR turn % 2 = 0 OR {_any(X.NO_CONTEXT_MARKERS)} > 0 AS generic FROM conversations")
+def f16_no_context(t):
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Sorry. No policy context is available for "), F.col("role"))).otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", X.no_context_answer(text).alias("generic"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL ELSE (doc_id % 10) / 2 END AS score FROM documents")
+def f25_judge_score(t):
+    n = F.format_string("%.1f", (F.col("doc_id") % 10) / 2)
+    forms = [F.concat(F.lit('{"score": '), n, F.lit("}")), F.concat(F.lit('Verdict:\n```json\n{"score": '), n, F.lit("}\n```")), F.concat(F.lit('I say {"score": '), n, F.lit("} for it")), F.concat(F.lit("Score: "), n), F.lit("none")]
+    text = F.element_at(F.array(*forms), (F.col("doc_id") % 5 + 1).cast("int"))
+    return t.documents.select("doc_id", X.judge_score(text).alias("score"))
+
+
 @query("SELECT p_partkey, CASE WHEN regexp_matches(n, '^[0-9]') THEN '_' || n ELSE n END AS metric FROM (SELECT p_partkey, regexp_replace(regexp_replace(trim(p_brand || ' ' || p_type || '%'), '[^a-zA-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS n FROM part)")
 def f19_metric_name(t):
     return t.part.select("p_partkey", X.metric_name(F.concat_ws(" ", "p_brand", F.concat("p_type", F.lit("%")))).alias("metric"))
@@ -368,6 +396,14 @@ def f23_f24_leave_and_intervals(t):
     return t.orders.select("o_orderkey", days.cast("long").alias("days"), F.greatest(F.lit(0), 20 - days).cast("long").alias("balance"), ((days <= 3) & F.col("o_orderpriority").startswith("1")).alias("auto_approved"), (F.col("o_orderdate") + F.make_interval(mins=F.lit(45))).alias("ends"))
 
 
+@query("SELECT o_orderkey, kind, days, CASE WHEN kind = 'unpaid' THEN 20 ELSE greatest(0, 20 - days) END AS balance, kind = 'sick' AND days <= 3 AS approved FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'sick' WHEN 1 THEN 'unpaid' ELSE 'annual' END AS kind, CAST(o_orderkey % 30 AS INTEGER) + 1 AS days FROM orders)")
+def x2_leave_tool(t):
+    start = F.col("o_orderdate").cast("date")
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "sick").when(F.col("o_orderkey") % 3 == 1, "unpaid").otherwise("annual")
+    days = models.leave_days(start, F.date_add(start, (F.col("o_orderkey") % 30).cast("int")))
+    return t.orders.select("o_orderkey", kind.alias("kind"), days.alias("days"), models.leave_balance(F.lit(20), kind, days).alias("balance"), models.leave_approved(kind, days).alias("approved"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def f26_json_props(t):
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
@@ -602,6 +638,27 @@ def v16_talent_ranking(t):
     return T.talent_ranking(candidates, job)
 
 
+def _encode(texts):
+    """A deterministic stand-in for an embedding model."""
+    import hashlib
+
+    return [[b / 255 for b in hashlib.sha256(x.encode()).digest()[:8]] for x in texts]
+
+
+@query()
+def t6_ingest(t):
+    docs = t.documents.selectExpr("cast(doc_id AS string) AS source", "text")
+    have = flows.ingested(docs.filter("source like '1%'"), None, "org", "policy").select("chunk_id")
+    return flows.ingested(docs, have, "org", "policy", _encode, 8).drop("embedding")
+
+
+@query()
+def v14_answers(t):
+    chunks = models.embedded(t.chunks.filter("namespace = 'en'"), _encode, "content", dim=8)
+    asked = models.embedded(t.benchmark.filter("item_id < 5").selectExpr("item_id AS query_id", "text AS query"), _encode, "query", "query_vector", 8)
+    return flows.answered(asked, chunks, "src0", "en")
+
+
 # --- evaluation -------------------------------------------------------------------------------------------
 
 _EV_ROWS = f"""e AS (SELECT d.doc_id, b.text AS question, substr(d.text, 1, 600) AS answer, d.text AS c1, d.text || ' ' || b.text AS c2, b.text AS truth FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.lang = 'en' AND {_ASCII.replace("text", "d.text")}),
