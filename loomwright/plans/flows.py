@@ -29,7 +29,7 @@ def retrieved(chunks: DataFrame, queries: DataFrame, organization: str, namespac
     """Hybrid retrieval and reranking within a scope. chunks(chunk_id, content, source, page, embedding),
     queries(query_id, query, query_vector): query_id, doc_id, score, rank. The scope comes first, so it can't
     leave a query short of hits, and BM25's statistics are those of the scope."""
-    own = scoped(chunks, organization, namespace).withColumnRenamed("chunk_id", "doc_id")
+    own = scoped(chunks, organization, namespace).select(F.col("chunk_id").alias("doc_id"), "content", "source", "page", "embedding")
     bm25 = T.BM25Index(own, text_col="content").search(queries, first)
     vector = T.knn(own, queries.select("query_id", "query_vector"), first)
     hits = T.hybrid(bm25, vector, alpha, first)
