@@ -147,6 +147,11 @@ def messages_of(messages: DataFrame, sessions: DataFrame, username: str, organiz
     return rows.orderBy(F.col("id").desc()).limit(limit) if limit else rows
 
 
+def appended_if_owned(messages: DataFrame, incoming: DataFrame, sessions: DataFrame, username: str, organization: str) -> DataFrame:
+    """``messages`` and those incoming ones whose session is the user's own."""
+    return messages.unionByName(messages_of(incoming, sessions, username, organization).select(*messages.columns))
+
+
 def new_chunks(incoming: DataFrame, stored: DataFrame, key: str = "chunk_id") -> DataFrame:
     return incoming.join(stored.select(key), key, "left_anti")
 

@@ -15,7 +15,7 @@ from ..operators import evaluation as E
 from ..operators import guard, memory, metrics, models
 from ..operators import relational as R
 from ..operators import retrieval as T
-from ..sources import sinks
+from ..sources import files, sinks
 from ..streaming import rate_limit, windows
 from . import flows
 from .views import AS_OF, ORDERS_AS_OF, Tables, with_views
@@ -148,6 +148,12 @@ def j3_messages_of_user(t):
     return R.messages_of(t.messages, t.sessions, "u3", "org_1").select("id", "session_id", "role")
 
 
+@query("SELECT id, session_id FROM messages WHERE session_id % 2 = 0 UNION ALL SELECT id + 500, session_id FROM messages m WHERE EXISTS (SELECT 1 FROM sessions s WHERE s.id = m.session_id AND s.username = 'u2' AND s.organization_id = 'org_0')", "messages", "sessions")
+def j4_append_if_owned(t):
+    own = t.messages.select("id", "session_id")
+    return R.appended_if_owned(own.filter("session_id % 2 = 0"), own.withColumn("id", F.col("id") + 500), t.sessions, "u2", "org_0")
+
+
 @query("SELECT doc_id, chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE doc_id % 3 = 0)", "chunks")
 def j8_new_chunks(t):
     return R.new_chunks(t.chunks, t.chunks.filter("doc_id % 3 = 0")).select("doc_id", "chunk_id")
@@ -384,6 +390,12 @@ def f20_f21_keys_and_labels(t):
     return t.chunks.select("doc_id", X.citation(c("source"), c("page")).alias("label"), X.citation_with_relevance(c("source"), c("page"), c("score")).alias("long_label"), X.chunk_key(c("chunk_id"), c("content"), c("source"), c("page")).alias("chunk_key"))
 
 
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'image' WHEN 3 THEN 'txt' END AS backend FROM documents")
+def s7_backends(t):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("a.b/x.PDF", "y.docx", "z.Jpeg", "w.tar.txt", "v.exe")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return t.documents.select("doc_id", files.backend(kind).alias("backend"))
+
+
 @query("SELECT doc_id, 'doc_' || substr(sha256(text), 1, 32) AS document_id FROM documents")
 def s14_document_identity(t):
     return t.documents.select("doc_id", X.document_id(F.col("text")).alias("document_id"))

@@ -15,6 +15,13 @@ IMAGES = {"png", "jpg", "jpeg", "tiff", "tif"}
 LEAST_PDF_TEXT = 200
 
 
+def backend(path):
+    """The reader that a path's extension (any case) calls for, as a column; null for unknown ones."""
+    kind = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    named = F.when(kind.isin("txt", "pdf", "docx", "xlsx", "pptx"), kind)
+    return named.when(kind.isin(*sorted(IMAGES)), "image")
+
+
 def _xml(z: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(z.read(name))
 

@@ -49,6 +49,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_memory(messages: DataFrame, path: str, most: int = 10_000) -> None:
+    """A JSON object for each user and organisation with the last ``most`` messages in order, as ``read_memory``
+    takes them."""
+    from ..operators.relational import newest_per_key
+
+    kept = newest_per_key(messages, ["user_id", "organization_id"], [F.col("timestamp").desc()], most)
+    rows = kept.groupBy("user_id", "organization_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "role", "content"))).alias("messages"))
+    rows.write.mode("overwrite").json(path)
+
+
 def write_shortlist(ranking: DataFrame, path: str) -> None:
     ranking.write.mode("overwrite").option("header", True).csv(path)
 

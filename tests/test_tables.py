@@ -161,5 +161,7 @@ def test_store_and_sinks(spark, tmp_path):
     assert files.read_ground_truth(spark, str(tmp_path / "gt.json")).count() == 1
     (tmp_path / "mem.json").write_text('{"user_id": "u", "organization_id": "o", "messages": [{"role": "user", "content": "hi", "timestamp": "t"}, {"role": "hacker", "content": "x", "timestamp": "t"}]}')
     assert files.read_memory(spark, str(tmp_path / "mem.json"), "u", "o").count() == 1 and files.read_memory(spark, str(tmp_path / "mem.json"), "v", "o").count() == 0
+    sinks.write_memory(spark.createDataFrame([("u", "o", "user", "a", "1"), ("u", "o", "assistant", "b", "2")], "user_id string, organization_id string, role string, content string, timestamp string"), str(tmp_path / "out"))
+    assert [r.content for r in files.read_memory(spark, str(tmp_path / "out"), "u", "o").collect()] == ["a", "b"]
     ics = sinks.calendar(spark.createDataFrame([("1", "Talk, with; care", NOW, 30)], "uid string, title string, start timestamp_ntz, minutes int")).first().ics
     assert "DTEND:20240101T123000" in ics and "SUMMARY:Talk\\, with\; care" in ics
