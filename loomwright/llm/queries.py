@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_top_k": topk.OP6_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_line_templates": line_templates.OP10_SQL,
 }
