@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, rows_of, text_or_empty
+from .common import batch, begin, memory, rows_of, text_or_empty
 from .tokenizer_files import TokenizerFile
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
-_CODECS: dict = {}
+_CODECS = memory()
 
 
 class Codec:
@@ -60,6 +60,7 @@ class Codec:
 
 
 def codec(tokenizer: TokenizerFile, pattern: str) -> Codec:
+    begin(_CODECS)
     key = tokenizer.version, pattern
     if key not in _CODECS:
         _CODECS[key] = Codec(tokenizer.load(), pattern)

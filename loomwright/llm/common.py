@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomwright"
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove what these operators have left in the shared folder. DataFrames that they returned can't be read
+    any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -56,5 +63,38 @@ def rows_of(batches, *names):
             yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+_MEMORIES: list[dict] = []
+_LAST: list = [None]  # the operator that used this worker last, by its memory
+
+
+def memory() -> dict:
+    """A dict for what a Python worker keeps between tasks."""
+    _MEMORIES.append({})
+    return _MEMORIES[-1]
+
+
+def begin(own: dict | None = None) -> None:
+    """At the start of a task: if another operator used this worker before, drop what it keeps."""
+    if own is _LAST[0]:
+        return
+    _LAST[0] = own
+    for d in _MEMORIES:
+        if d is not own:
+            d.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on all systems
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fresh, stored, text_or_empty
+from .common import begin, fresh, memory, stored, text_or_empty, trim
 from .graph import Forest, components
 
 WORDS, NUM, DEN = 5, 75, 100  # n-gram length; links have DEN * intersection >= NUM * union
@@ -160,7 +160,7 @@ class Order:
         return s[np.argsort(-self.counted(s), kind="stable")]
 
 
-_ORDERS: dict = {}
+_ORDERS = memory()
 
 
 def _order(broadcast) -> Order:
@@ -190,33 +190,40 @@ def _describe(words: int):
     def run(batches):
         import numpy as np
 
+        begin(_ORDERS)
         shingle, held, size, seen = Shingler(words), [], 0, set()
 
         def common():
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            grams = np.concatenate(held)
+            held.clear()
+            grams.sort()
+            first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            grams, counts = grams[first], np.diff(np.append(first, len(grams)))
             grams, counts = grams[counts >= LOCALLY_COMMON].view(np.int64), counts[counts >= LOCALLY_COMMON]
             for k in range(0, len(grams), 50_000):
                 own = len(grams[k : k + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(own, np.int32)), pa.nulls(own, id_type), pa.nulls(own, pa.int64()), pa.array(grams[k : k + 50_000]), pa.array(counts[k : k + 50_000].astype(np.int64))], names=["kind", "id", "doc", "key", "n"])
 
         id_type = None
-        for b in batches:
-            id_type = b.column("id").type
-            keys, sizes = [], []
-            for _, s in shingle.batches(b.column("text").to_pylist()):
-                key = set_key(s) if len(s) else 0
-                keys.append(key)
-                sizes.append(len(s))
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    held.append(s)
-                    size += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column("id"), b.column("doc"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["kind", "id", "doc", "key", "n"])
-            if size > BLOCK_NGRAMS:
-                yield from common()
-                held, size, seen = [], 0, set()
+        for whole in batches:
+            id_type = whole.column("id").type
+            for k in range(0, whole.num_rows, 1000):
+                b, keys, sizes = whole.slice(k, 1000), [], []
+                for _, s in shingle.batches(b.column("text").to_pylist()):
+                    key = set_key(s) if len(s) else 0
+                    keys.append(key)
+                    sizes.append(len(s))
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        held.append(s)
+                        size += len(s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column("id"), b.column("doc"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["kind", "id", "doc", "key", "n"])
+                if size > BLOCK_NGRAMS:
+                    yield from common()
+                    size, seen = 0, set()
         if held:
             yield from common()
+        trim()
 
     return run
 
@@ -264,12 +271,15 @@ def _send(common, parts: int, num: int, den: int, words: int):
     def run(batches):
         import numpy as np
 
+        begin(_ORDERS)
         shingle, order, held, size, seen = Shingler(words), _order(common), [], 0, set()
 
         def flush():
-            postings, begin, length = _lists(np.concatenate(held))
+            postings = np.concatenate(held)
+            held.clear()
+            postings, starts, length = _lists(postings)
             edges, keep, extra = [], np.ones(len(postings), bool), []
-            for at, n in zip(begin[length > LONG_LIST].tolist(), length[length > LONG_LIST].tolist(), strict=True):
+            for at, n in zip(starts[length > LONG_LIST].tolist(), length[length > LONG_LIST].tolist(), strict=True):
                 more, ends = _long_list(postings[at : at + n], num, den)
                 edges += more
                 keep[at : at + n] = False
@@ -286,20 +296,22 @@ def _send(common, parts: int, num: int, den: int, words: int):
                 p, data, e = zip(*rows[k : k + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(data, pa.binary()), pa.array(e, pa.binary())], names=["part", "postings", "edges"])
 
-        for b in batches:
-            for _, s in shingle.batches(b.column("text").to_pylist()):
-                if not len(s) or (key := set_key(s)) in seen:
-                    continue
-                seen.add(key)
-                own = np.zeros(prefix_length(len(s), num, den) + int(must_share(len(s))) - 1, POSTING)
-                own["h"], own["k"], own["n"], own["p"] = order.first(s, len(own)), key, len(s), np.arange(len(own))
-                held.append(own)
-                size += len(own)
-                if size > POSTINGS_A_TASK:
-                    yield from flush()
-                    held, size, seen = [], 0, set()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                for _, s in shingle.batches(whole.slice(k, 1000).column("text").to_pylist()):
+                    if not len(s) or (key := set_key(s)) in seen:
+                        continue
+                    seen.add(key)
+                    own = np.zeros(prefix_length(len(s), num, den) + int(must_share(len(s))) - 1, POSTING)
+                    own["h"], own["k"], own["n"], own["p"] = order.first(s, len(own)), key, len(s), np.arange(len(own))
+                    held.append(own)
+                    size += len(own)
+                    if size > POSTINGS_A_TASK:
+                        yield from flush()
+                        size, seen = 0, set()
         if held:
             yield from flush()
+        trim()
 
     return run
 
@@ -326,6 +338,7 @@ def _meet(num: int, den: int, parts: int):
     def run(batches):
         import numpy as np
 
+        begin()
         forest, blocks = Forest(), []
         for b in batches:
             for data, edges in zip(b.column("postings").to_pylist(), b.column("edges").to_pylist(), strict=True):
@@ -340,8 +353,10 @@ def _meet(num: int, den: int, parts: int):
                         at += own[c].nbytes
                     blocks.append(own)
         if blocks:
-            postings, begin, length = _lists(np.concatenate(blocks))
-            for at, n in zip(begin[length > LONG_LIST].tolist(), length[length > LONG_LIST].tolist(), strict=True):
+            postings = np.concatenate(blocks)
+            blocks.clear()
+            postings, starts, length = _lists(postings)
+            for at, n in zip(starts[length > LONG_LIST].tolist(), length[length > LONG_LIST].tolist(), strict=True):
                 for x, y in _long_list(postings[at : at + n], num, den)[0]:
                     forest.join(x, y)
             many = (length > 1) & (length <= LONG_LIST)
@@ -366,6 +381,7 @@ def _meet(num: int, den: int, parts: int):
                 for x, y in pairs[times >= pairs[:, 2]][:, :2].tolist():
                     forest.join(x, y)
         yield from _edge_batches(forest.rows())
+        trim()
 
     return run
 
@@ -431,6 +447,7 @@ def _solve(common, num: int, den: int, words: int):
     joined with all rows of the group; role 0 rows only with those of role 1. Equal labels are joined already."""
 
     def run(batches):
+        begin(_ORDERS)
         order, shingle = _order(common), Shingler(words)
 
         def solve(rows):

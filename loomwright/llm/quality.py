@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, text_or_empty
+from .common import begin, fresh, stored, text_or_empty
 
 MAX_LABELLED, MAX_TERMS, PREFIX = 12_000, 5000, 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -170,6 +170,7 @@ def _probability(model: Model):
 
     @F.pandas_udf("double")
     def probability(texts):
+        begin()
         m = Model(*kept)
         return texts.map(m.unwanted)
 
