@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import stored, text_or_empty
+from .common import begin, memory, stored, text_or_empty
 from .tokenizer_files import TokenizerFile
 
 SEQUENCE, WINDOW_SEQUENCES, MAX_QUEUES = 2048, 64, 1024
@@ -35,7 +35,7 @@ class WordEncoder:
     kinds of tokenizers get whole texts.
     """
 
-    MOST_WORDS, MOST_PARTS, LONGEST_KEPT = 600_000, 400_000, 48
+    MOST_WORDS, MOST_PARTS, LONGEST_KEPT = 500_000, 350_000, 48
 
     def __init__(self, tokenizer, width: str):
         import json
@@ -156,13 +156,14 @@ def _word_pattern(config: dict) -> str | None:
     return known
 
 
-_ENCODERS: dict = {}
+_ENCODERS = memory()
 
 
 def _tokenise(tokenizer: TokenizerFile, end_id: int, id_schema: list):
     def run(batches):
         import numpy as np
 
+        begin(_ENCODERS)
         if tokenizer.version not in _ENCODERS:
             t = tokenizer.load()
             _ENCODERS[tokenizer.version] = WordEncoder(t, "<u2" if max(t.get_vocab_size(), end_id + 1) < 65536 else "<u4")
