@@ -28,6 +28,7 @@ LONG_LIST, TRIE_SETS, HUBS, POSTINGS_A_TASK = 256, 256, 8, 1_000_000
 MOST_BROADCAST = 1_000_000  # rows of one hash
 LARGE_SET, MORE_SHARED = 600, 12  # sets of so many n-grams must share a twelfth of them in longer prefixes
 POSTING = [("h", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")]
+STANDS = 2**32 - 1  # in place of a position: the posting stands for a contracted list
 
 
 class Shingler:
@@ -244,10 +245,11 @@ def _segments(n, num: int, den: int):
 
 
 def _lists(postings):
-    """Sort by n-gram, size and set, without repeats; where each list begins, and its length."""
+    """Sort by n-gram, size and set, without repeats (one that stands for a list stays); where each list begins,
+    and its length."""
     import numpy as np
 
-    postings = postings[np.lexsort((postings["k"], postings["n"], postings["h"]))]
+    postings = postings[np.lexsort((~postings["p"], postings["k"], postings["n"], postings["h"]))]
     if len(postings):
         postings = postings[np.r_[True, (postings["h"][1:] != postings["h"][:-1]) | (postings["k"][1:] != postings["k"][:-1])]]
     begin = np.flatnonzero(np.r_[True, postings["h"][1:] != postings["h"][:-1]]) if len(postings) else np.empty(0, np.int64)
@@ -256,15 +258,18 @@ def _lists(postings):
 
 def _long_list(own, num, den):
     """Edges that join all of a long list that may be similar, and the postings that stand for it: each run's
-    first and last."""
+    first and last. A set that may by its size be similar to any of a run may be so to one of these two; their
+    positions say nothing about the others."""
     starts, linked = _segments(own["n"].astype("i8"), num, den)
     edges = [(int(own["k"][s]), int(own["k"][k])) for k, s in enumerate(starts.tolist()) if k != s]
     edges += [(int(own["k"][k - 1]), int(own["k"][k])) for k in linked.nonzero()[0].tolist()]
     ends = sorted({k for s in set(starts.tolist()) for k in (s, int(starts.searchsorted(s, "right")) - 1)})
-    return edges, own[ends]
+    stand = own[ends]
+    stand["p"] = STANDS
+    return edges, stand
 
 
-def _send(common, parts: int, num: int, den: int, words: int):
+def _send(common, parts: int, num: int, den: int, words: int, long_list: int):
     """The postings of prefixes, in one binary for each block of documents and target part; lists that are
     long within a block are joined here and only their runs' ends sent on."""
 
@@ -279,7 +284,7 @@ def _send(common, parts: int, num: int, den: int, words: int):
             held.clear()
             postings, starts, length = _lists(postings)
             edges, keep, extra = [], np.ones(len(postings), bool), []
-            for at, n in zip(starts[length > LONG_LIST].tolist(), length[length > LONG_LIST].tolist(), strict=True):
+            for at, n in zip(starts[length > long_list].tolist(), length[length > long_list].tolist(), strict=True):
                 more, ends = _long_list(postings[at : at + n], num, den)
                 edges += more
                 keep[at : at + n] = False
@@ -330,10 +335,10 @@ def may_link(n1, p1, n2, p2, num: int, den: int):
     return (n1 * den >= n2 * num) & (p1 <= n1 - (-(-2 * n1 * num // (num + den)))) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
 
 
-def _meet(num: int, den: int, parts: int):
+def _meet(num: int, den: int, parts: int, long_list: int):
     """One part's postings: candidate edges, contracted to stars. Pairs that must share more n-grams than there
     are parts share several in at least one part; there they are counted. (N-grams of long lists aren't, but
-    such a list joins all of its sets that may be similar.)"""
+    such a list joins all of its sets that may be similar, and what stands for one joins all by size alone.)"""
 
     def run(batches):
         import numpy as np
@@ -356,24 +361,26 @@ def _meet(num: int, den: int, parts: int):
             postings = np.concatenate(blocks)
             blocks.clear()
             postings, starts, length = _lists(postings)
-            for at, n in zip(starts[length > LONG_LIST].tolist(), length[length > LONG_LIST].tolist(), strict=True):
+            for at, n in zip(starts[length > long_list].tolist(), length[length > long_list].tolist(), strict=True):
                 for x, y in _long_list(postings[at : at + n], num, den)[0]:
                     forest.join(x, y)
-            many = (length > 1) & (length <= LONG_LIST)
+            many = (length > 1) & (length <= long_list)
             postings = postings[np.repeat(many, length)]
             n, p = postings["n"].astype(np.int64), postings["p"].astype(np.int64)
-            key, often, counted = postings["k"], -(-must_share(n) // parts), []
-            for d in range(1, LONG_LIST):
+            key, often, counted, stands = postings["k"], -(-must_share(n) // parts), [], postings["p"] == STANDS
+            for d in range(1, long_list):
                 i = np.flatnonzero(postings["h"][d:] == postings["h"][:-d])
                 if not len(i):
                     break
                 i = i[n[i] * den >= n[i + d] * num]
+                sure = stands[i] | stands[i + d]
+                by_size, i = i[sure], i[~sure]
                 many = often[i] > 1
                 if many.any():
                     m = i[many]
                     counted.append(np.stack([key[m], key[m + d], often[m]], 1))
                 i = i[~many]
-                i = i[may_link(n[i], p[i], n[i + d], p[i + d], num, den)]
+                i = np.concatenate([by_size, i[may_link(n[i], p[i], n[i + d], p[i + d], num, den)]])
                 for x, y in np.unique(np.stack([key[i], key[i + d]], 1), axis=0).tolist():
                     forest.join(x, y)
             if counted:
@@ -495,7 +502,7 @@ class NgramJoin:
         return self.docs.join(self.roots, "key", "left").select("id", "doc", "n", label.alias("label"))
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> NgramJoin:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, long_list: int = LONG_LIST) -> NgramJoin:
     """Join the n-gram sets of all whole texts; links have den * intersection >= num * union.
 
     A-Z are lower-cased and words are runs of other than ASCII white space; a text with fewer than ``words``
@@ -503,7 +510,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with nothing. N-grams and sets are compared as 64-bit hashes. Equal sets are one set from the start,
     so copies and repeated rows cost nothing; null ids are allowed; an empty table gives an empty join.
     The common n-grams that the order needs (at most a million) are the only thing broadcast; any order
-    gives the same links. Groups beyond 256 sets are worked in blocks of that size: each with hubs of the
+    gives the same links, and so does any ``long_list`` (postings of an n-gram that are held apart). Groups beyond 256 sets are worked in blocks of that size: each with hubs of the
     group first, and then only the sets that are still apart with the rest.
     """
     spark = docs.sparkSession
@@ -523,8 +530,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = described.agg(F.sum(F.col("n") * ((den - num) / den + 1 / MORE_SHARED) + 1)).first()[0] or 0
     parts = max(parts, math.ceil(total / POSTINGS_A_TASK))
 
-    sent = raw.select("text").mapInArrow(_send(common, parts, num, den, words), "part int, postings binary, edges binary")
-    candidates = sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(num, den, parts), "a long, b long")
+    sent = raw.select("text").mapInArrow(_send(common, parts, num, den, words, long_list), "part int, postings binary, edges binary")
+    candidates = sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(num, den, parts, long_list), "a long, b long")
     groups = components(candidates)
     groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "ngram-groups")
 

@@ -130,3 +130,14 @@ def test_prefixes_lose_nothing():
             p, q = a.index(first), b.index(first)
             assert p < N.prefix_length(len(a), 75, 100) and q < N.prefix_length(len(b), 75, 100)
             assert N.may_link(len(a), p, len(b), q, 75, 100)
+
+
+def test_long_lists_keep_links_between_blocks(spark):
+    """The smallest and the largest set of a long list can't be similar to the other block's set, those between can."""
+    core = [f"t{k}" for k in range(18)]
+    own = lambda name, n: [f"{name}x{k}" for k in range(n)]
+    here = [own("small", 3) + core[:16], own("large", 4) + core[:17], *(own(f"m{k}", 2) + core for k in range(6)), *(own(f"f{k}", 1) + core[16:] for k in range(4))]
+    rows = [(k, " ".join(w)) for k, w in enumerate([*here, own("y", 2) + core])] + [(k, "") for k in range(13, 24)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")  # y is in the second block
+    got = {r.doc_id: r.component_id for r in N.link_components(docs, words=1, long_list=3).collect()}
+    assert got == {k: 2 if 2 <= k < 8 or k == 12 else k for k in range(24)}
