@@ -20,3 +20,7 @@ def test_model_rerank_takes_all_questions_and_documents(spark):
     got = catalog.QUERIES["v13_model_rerank"](spark, SF).select("query_id", "doc_id").collect()
     assert sorted({r.query_id for r in got}) == ids(table(spark, "benchmark"), "item_id")
     assert {r.doc_id for r in got} & set(ids(table(spark, "documents").filter("lang <> 'en'"), "doc_id"))
+
+
+def test_answers_to_all_questions(spark):
+    assert ids(catalog.QUERIES["v14_answers"](spark, SF), "query_id") == ids(table(spark, "benchmark"), "item_id")
