@@ -24,3 +24,11 @@ def test_model_rerank_takes_all_questions_and_documents(spark):
 
 def test_answers_to_all_questions(spark):
     assert ids(catalog.QUERIES["v14_answers"](spark, SF), "query_id") == ids(table(spark, "benchmark"), "item_id")
+
+
+def test_cache_is_asked_for_all_rows(spark):
+    assert {i % 5 for i in ids(catalog.QUERIES["v24_semantic_cache"](spark, SF), "request_id")} == {0, 1, 2, 3, 4}
+
+
+def test_calendar_of_all_orders(spark):
+    assert sorted(map(int, ids(catalog.QUERIES["o9_calendar"](spark, SF), "uid"))) == ids(table(spark, "orders"), "o_orderkey")
