@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
-from loomwright.llm.packing import Schedule, pack, sequences  # noqa: E402
+from loomwright.llm.packing import Schedule, WordEncoder, pack, sequences  # noqa: E402
 
 WORDS = P.path("word_bpe_49k.json")
 
@@ -102,10 +102,50 @@ def test_windows_hold_the_mixture(spark):
         assert all(abs(n - 1024 * share[s]) < 8 for s, n in fill[w].items())
 
 
-def test_given_shares_and_many_sources(spark):
+def test_given_shares(spark):
     docs = spark.createDataFrame([(k, "word " * 20, "ab"[k % 2]) for k in range(100)], "doc_id long, text string, source string")
     got = pack(docs, WORDS, sequence=64, window_sequences=2, shares={"a": 0.75, "b": 0.25}).collect()
     first = [p for p in got if p.sequence_id < 10]
     assert abs(sum(p.length for p in first if p.doc_id % 2 == 0) / sum(p.length for p in first) - 0.75) < 0.02
-    many = docs.selectExpr("doc_id", "text", "cast(doc_id AS string) AS source")
-    assert sum(p.length for p in pack(many, WORDS, max_queues=7).collect()) == 100 * 21
+    # sources that aren't named are one queue with the least share
+    more = spark.createDataFrame([(k, "word " * 20, ["a", "b", "c", None][k % 4]) for k in range(200)], "doc_id long, text string, source string")
+    got = pack(more, WORDS, sequence=64, window_sequences=2, shares={"a": 0.6, "b": 0.2}).collect()
+    first = [p for p in got if p.sequence_id < 10]
+    for of, share in (({0}, 0.6), ({1}, 0.2), ({2, 3}, 0.2)):
+        assert abs(sum(p.length for p in first if p.doc_id % 4 in of) / sum(p.length for p in first) - share) < 0.02
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_many_sources_are_placed_alike(spark, partitions):
+    r = random.Random(5)
+    rows = [(k, "word " * r.randrange(0, 60), None if k % 11 == 0 else f"s{min(k % 40, r.randrange(40))}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(partitions)
+    local, table = (sorted(map(tuple, pack(docs, WORDS, sequence=64, window_sequences=3, most_local=n).drop("ids").collect())) for n in (1000, 7))
+    where = lambda rows: sorted((sequence_id, offset, length) for _, _, length, _, _, sequence_id, offset in rows)
+    assert where(local) == where(table)
+    assert local == table
+
+
+def test_symbols_beside_every_code_point_as_library():
+    """The library's classes count, whatever version of Unicode it has."""
+    from tokenizers import Tokenizer
+
+    e = WordEncoder(Tokenizer.from_file(WORDS), "<u2")
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for symbol in ("a", "'", "\u20f5", "\u27e2"):
+        for k in range(0, len(points), 100_000):
+            texts = [" ".join(symbol + c + symbol for c in points[j : j + 50]) for j in range(k, min(k + 100_000, len(points)), 50)]
+            assert e.many(texts) == e.whole(texts)
+
+
+def test_contractions_and_long_words_as_library():
+    from tokenizers import Tokenizer
+
+    e = WordEncoder(Tokenizer.from_file(WORDS), "<u2")
+    e.BATCH_BYTES, e.MOST_IDS, e.MOST_LONG = 300, 500, 5
+    r = random.Random(1)
+    few = list("'" * 4 + " sstrevlmdSTRVLEa b1,.-é×ß")
+    all_ = [chr(c) for c in range(0x250)] + ["\u0301", "中", "ж", "Σ", "İ", "K"]
+    texts = ["".join(r.choices(few if k % 2 else all_, k=r.randrange(0, 60))) for k in range(3000)]
+    texts += ["x" * 40 + " " + "ab" * r.randrange(1, 60) + " 中" + "文" * r.randrange(1, 30) for _ in range(50)] + ["no-space" * 200, " " * 700, ""]
+    assert [x for k in range(0, len(texts), 64) for x in e.many(texts[k : k + 64])] == e.whole(texts)
