@@ -9,14 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_HOT, LEAST_HOT = 50_000, 200
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where that is unset (single-machine tests) a folder under /tmp/checkpoints is
-    used and set on the context.
+    Where that is unset and the master is local (single-machine tests) a folder under /tmp/checkpoints is
+    used and set on the context; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -44,6 +49,24 @@ def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot_apart(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined (inner, left or left_semi) with ``right``, which has at most one row for each key, so that
+    no task gets all rows of a hot key.
+
+    Keys that more than 1 in ``MOST_HOT`` of left's rows have (and over ``LEAST_HOT`` rows) are hot: there are at
+    most MOST_HOT of these, whatever the data, so right's rows for them are broadcast. All others are joined by a
+    shuffle. ``left`` is read three times and should be cheap to read; null keys match nothing.
+    """
+    n = left.count()
+    hot = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(LEAST_HOT, n // MOST_HOT)).select(*keys)
+    hot = stored(hot, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    few = F.broadcast(hot)  # at most MOST_HOT rows
+    spread = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how)
+    return left.join(few, keys, "left_anti").join(right, keys, how).unionByName(spread)
+
+
 def fresh(df: DataFrame, base: str, *also: str) -> str:
     """A column name that neither ``df`` has nor ``also`` lists, whatever the case."""
     taken = {c.lower() for c in (*df.columns, *also)}

@@ -26,12 +26,12 @@ def random_texts(n):
     return ["".join(r.choices(alphabet, k=r.randrange(0, 400))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(32768, 512), (40, 40), (64, 16), (50, 1)])
-def test_same_as_library(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,dealt", [(4096, 256, 262_144), (40, 39, 1000), (64, 16, 0), (50, 1, 100)])
+def test_same_as_library(spark, chunk, overlap, dealt):
     texts = [None, *ODD, *random_texts(60), "same " * 40, "same " * 40]
     rows = [(None if k == 3 else min(k, len(texts) - 2), t, "x") for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
-    got = bpe.encode_documents(docs, P.path(RANKS), P.PATTERN, chunk_chars=chunk, overlap_chars=overlap).collect()
+    got = bpe.encode_documents(docs, P.path(RANKS), P.PATTERN, chunk_chars=chunk, overlap_chars=overlap, dealt_chars=dealt).collect()
     want = [(r[0], ids) for r, ids in zip(rows, reference(texts), strict=True)]
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.doc_id, r.ids) for r in got), key=key) == sorted(want, key=key)
@@ -41,20 +41,43 @@ def test_same_as_library(spark, chunk, overlap):
 
 def test_round_trip_and_empty(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
-    ids = bpe.encode_documents(docs, P.path(RANKS), P.PATTERN, chunk_chars=30, overlap_chars=8)
+    ids = bpe.encode_documents(docs, P.path(RANKS), P.PATTERN, chunk_chars=30, overlap_chars=8, dealt_chars=60)
     back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode_ids(ids, P.path(RANKS)).collect()}
     assert back == dict(enumerate(ODD))
     assert bpe.encode_documents(docs.limit(0), P.path(RANKS), P.PATTERN).collect() == []
 
 
-def test_every_character_class_as_library():
-    """Each code point beside a letter, a digit and a space: both pre-tokenisers must agree."""
-    from loomwright.llm.bpe import Codec
-    import tiktoken
-
+def _codec():
     with open(P.path(RANKS), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    e, c = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Codec(ranks, P.PATTERN)
-    for low in range(0, 0x20000, 512):
-        for text in ("".join(f"a{chr(k)}1 {chr(k)}!{chr(k)} \n" for k in range(low, low + 512) if not 0xD800 <= k < 0xE000),):
-            assert e.encode_ordinary(text) == [int(x) for x in c.ids_text(text).split()], hex(low)
+        return bpe.Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, P.PATTERN)
+
+
+def test_symbols_beside_every_code_point_as_library():
+    """Small chunks, so that there are cuts next to all of them: the library's classes count."""
+    c = _codec()
+    points = [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000]
+    for symbol in ("a", "1", "'", "\u20f5", "\u27e2"):
+        for k in range(0, len(points), 500):
+            text = "".join(f"{symbol}{p}{symbol} x!" for p in points[k : k + 500])
+            assert bpe.encode_text(c, text, 64, 16) == c.encode(text), (symbol, k)
+
+
+def test_cuts_of_random_texts_as_library():
+    c, r = _codec(), random.Random(7)
+    few = list("aB7 !-\n") + ["'", "'s", "'ll", "  ", "é", "\u2019"]
+    for _ in range(3000):
+        text = "".join(r.choices(few, k=r.randrange(0, 300)))
+        assert bpe.encode_text(c, text, 20, 10) == c.encode(text), text
+
+
+def test_a_very_long_text(spark):
+    """20 MB in one row, twice, dealt over tasks in chunks of the real size."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(1, 9))) for _ in range(5000)]
+    text = " ".join(r.choices(words, k=3_500_000))
+    assert len(text) > 18_000_000
+    docs = spark.createDataFrame([(1, "short"), (2, text), (3, text)], "doc_id long, text string")
+    got = {x.doc_id: x for x in bpe.encode_documents(docs, P.path(RANKS), P.PATTERN, with_ids=False).collect()}
+    ids = reference([text])[0]
+    assert got[2][1:] == got[3][1:] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert got[1].n_tokens == len(reference(["short"])[0])
