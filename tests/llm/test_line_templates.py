@@ -7,7 +7,7 @@ import pytest
 from loomwright.llm.line_templates import drop_recurring_lines
 
 
-def brute(rows, depth, min_docs, constant):
+def brute(rows, depth, min_docs, constant, long_words=50, long_docs=3):
     mask = lambda s: re.sub(r"[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[ \t\r\f\x0b]+", " ", s).strip(" "))
     first, occurs = {}, defaultdict(set)
     for i, t in rows:
@@ -30,10 +30,11 @@ def brute(rows, depth, min_docs, constant):
             if len(fixed) >= constant * len(cols):
                 for m in ms:
                     template[m] = (len(cols), tuple(m.split(" ")[:depth]), tuple(m.split(" ")[k] for k in fixed))
-    where = defaultdict(set)
+    where, long = defaultdict(set), {}
     for m, docs in occurs.items():
         where[template[m]] |= docs
-    owner = {k: min(d, key=lambda t: (first[t] is None, first[t] or 0)) for k, d in where.items() if len(d) >= min_docs}
+        long[template[m]] = len(m.split(" ")) >= long_words
+    owner = {k: min(d, key=lambda t: (first[t] is None, first[t] or 0)) for k, d in where.items() if len(d) >= (min(long_docs, min_docs) if long[k] else min_docs)}
     out = []
     for i, t in rows:
         if t is None:
@@ -63,14 +64,15 @@ def corpus(seed):
     return rows + [rows[3]]
 
 
-@pytest.mark.parametrize("seed,depth,min_docs,constant", [(1, 3, 10, 0.6), (2, 1, 5, 0.3), (3, 2, 3, 0.9)])
-def test_same_as_brute_force(spark, seed, depth, min_docs, constant):
+@pytest.mark.parametrize("seed,depth,min_docs,constant,long_words,most", [(1, 3, 10, 0.6, 50, 1000), (2, 1, 5, 0.3, 9, 0), (3, 2, 3, 0.9, 50, 1000), (4, 3, 10, 0.6, 8, 0)])
+def test_same_as_brute_force(spark, monkeypatch, seed, depth, min_docs, constant, long_words, most):
+    monkeypatch.setattr("loomwright.llm.common.LEAST_HOT", 20 if most == 0 else 200)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*x, "e", 1) for x in rows], "doc_id long, text string, line string, _doc int").repartition(3)
-    got = drop_recurring_lines(docs, depth=depth, min_docs=min_docs, constant=constant, counts=("n_lines", "n_dropped"))
+    got = drop_recurring_lines(docs, depth=depth, min_docs=min_docs, constant=constant, long_words=long_words, most_broadcast=most, counts=("n_lines", "n_dropped"))
     assert got.columns == ["doc_id", "text", "line", "_doc", "n_lines", "n_dropped"]
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
-    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=key) == sorted(brute(rows, depth, min_docs, constant), key=key)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=key) == sorted(brute(rows, depth, min_docs, constant, long_words), key=key)
 
 
 def test_templates_and_copies(spark):
@@ -80,3 +82,11 @@ def test_templates_and_copies(spark):
     assert all(got[k] == "copy line of many" for k in range(2000, 2060)), "exact copies don't recur; the footer does"
     assert got[1000] == "solo line once\nmore"
     assert drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).collect() == []
+
+
+def test_long_passages_recur_sooner(spark):
+    passage = " ".join(f"word{'abcdefghij'[k % 10]}" for k in range(60))
+    rows = [(k, f"own line {'xyzuvwq'[k]}\n{passage}\nshort line") for k in range(4)] + [(9, " ".join(["two"] * 60)), (10, " ".join(["two"] * 60) + "\nelse")]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [passage in got[k] for k in range(4)] == [True, False, False, False] and all("short line" in got[k] for k in range(4))
+    assert got[9] == rows[4][1] and got[10] == rows[5][1], "two documents are too few"
