@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_or_empty
+from .common import join_hot_apart, stored, text_or_empty
 
 CAPACITY, MOST_BUCKETS, FIRST_BITS = 4096, 16_384, 14
-HELD_CHARS, IDS_A_ROW = 32_000_000, 4096
+HELD_CHARS, IDS_A_ROW, OWNER_BYTES = 32_000_000, 4096, 128_000_000
 
 
 class Directory:
@@ -73,7 +73,8 @@ class Directory:
 
 
 def _combine(lows: list[int], owners: list[int], out: pa.Schema):
-    """Rows of one task with equal texts become one, with their ids; sent to the key's owner."""
+    """Rows of one task with equal texts become one (kind 1: what the key's owner needs), with their ids beside
+    (kind 0), some thousand a row."""
 
     def run(batches):
         import numpy as np
@@ -81,40 +82,50 @@ def _combine(lows: list[int], owners: list[int], out: pa.Schema):
         low, owner = np.array(lows, np.uint64), np.array(owners, np.int32)
         part, seq, held, chains = TaskContext.get().partitionId(), 0, 0, {}
 
-        def flush(rows):
-            nonlocal seq
+        def emit(rows):
             for k in range(0, len(rows), 512):
-                keys, texts, ids = zip(*rows[k : k + 512], strict=True)
-                at = np.searchsorted(low, np.array(keys, np.int64).view(np.uint64), "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((owner[at], at, keys, [part] * len(keys), range(seq, seq + len(keys)), texts, ids), out, strict=True)], schema=out)
-                seq += len(keys)
+                cols = zip(*rows[k : k + 512], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, out, strict=True)], schema=out)
+
+        def members(e):
+            return 0, None, None, None, part, e["seq"], None, e["ids"], None, None, e["n"]
+
+        def flush():
+            found = [(k, t, e) for k, chain in chains.items() for t, e in chain]
+            at = np.searchsorted(low, np.array([k for k, *_ in found], np.int64).view(np.uint64), "right") - 1
+            heads = [(1, o, b, k, part, e["seq"], t, None, e["best"], e["pos"], e["n"] + len(e["ids"])) for (k, t, e), o, b in zip(found, owner[at].tolist(), at.tolist(), strict=True)]
+            yield from emit(heads + [members(e) for *_, e in found if e["ids"]])
 
         for b in batches:
             full = []
             for i, key, text in zip(*(b.column(c).to_pylist() for c in ("id", "key", "text")), strict=True):
                 chain = chains.setdefault(key, [])
-                for entry in chain:
-                    if entry[0] == text:
+                for known, e in chain:
+                    if known == text:
                         break
                 else:
-                    entry = [text, []]
-                    chain.append(entry)
-                    held += len(text) + 200
-                entry[1].append(i)
-                if len(entry[1]) >= IDS_A_ROW:
-                    full.append((key, text, entry[1]))
-                    entry[1] = []
-            yield from flush(full)
+                    e = {"seq": seq, "ids": [], "n": 0, "best": None, "pos": 0}  # n: ids that are out already
+                    chain.append((text, e))
+                    seq += 1
+                    held += len(text) + 300
+                if i is not None and (e["best"] is None or i > e["best"]):
+                    e["best"], e["pos"] = i, e["n"] + len(e["ids"])
+                e["ids"].append(i)
+                if len(e["ids"]) >= IDS_A_ROW:
+                    full.append(members(e))
+                    e["n"], e["ids"] = e["n"] + len(e["ids"]), []
+            yield from emit(full)
             if held > HELD_CHARS:
-                yield from flush([(k, t, ids) for k, chain in chains.items() for t, ids in chain if ids])
+                yield from flush()
                 held, chains = 0, {}
-        yield from flush([(k, t, ids) for k, chain in chains.items() for t, ids in chain if ids])
+        if chains:
+            yield from flush()
 
     return run
 
 
 def _own(out: pa.Schema):
-    """An owner's walk over its keys in order: a member row for each row, an entry row for each text."""
+    """An owner's walk over its keys in order: a row for each task's text (kind 0), an entry for each text (kind 1)."""
 
     def run(batches):
         rows, size = [], 0
@@ -122,29 +133,26 @@ def _own(out: pa.Schema):
 
         def close():
             for n, (text, best, where, total) in enumerate(chain):
-                rows.append((1, bucket, key, n, *where[:2], None, best, where[2], total, hashlib.sha256(text.encode()).hexdigest(), text))
+                rows.append((1, bucket, key, n, *where[:2], best, where[2], total, hashlib.sha256(text.encode()).hexdigest(), text))
 
         def emit():
             cols = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, out, strict=True)], schema=out)
 
         for b in batches:
-            for bkt, k, part, seq, text, ids in zip(*(b.column(c).to_pylist() for c in ("bucket", "key", "part", "seq", "text", "ids")), strict=True):
+            for bkt, k, part, seq, text, best, pos, count in zip(*(b.column(c).to_pylist() for c in ("bucket", "key", "part", "seq", "text", "best", "pos", "n")), strict=True):
                 if k != key:
                     close()
                     key, chain, bucket = k, [], bkt
                 n = next((n for n, e in enumerate(chain) if e[0] == text), len(chain))
                 if n == len(chain):
-                    chain.append([text, None, (part, seq, 0), 0])
+                    chain.append([text, best, (part, seq, pos), 0])
                     size += len(text)
                 entry = chain[n]
-                entry[3] += len(ids)
-                known = [i for i in ids if i is not None]
-                best = max(known, default=None)
-                mine = (part, seq, ids.index(best))
-                if best is not None and (entry[1] is None or best > entry[1]) or best == entry[1] and mine < entry[2]:
-                    entry[1:3] = best, mine
-                rows.append((0, bkt, k, n, part, seq, ids, None, None, None, None, None))
+                entry[3] += count
+                if best is not None and (entry[1] is None or best > entry[1]) or best == entry[1] and (part, seq) < entry[2][:2]:
+                    entry[1:3] = best, (part, seq, pos)
+                rows.append((0, bkt, k, n, part, seq, None, None, None, None, None))
                 if len(rows) >= 2000 or size > 4_000_000:
                     yield emit()
                     rows.clear()
@@ -157,19 +165,21 @@ def _own(out: pa.Schema):
 
 
 class ExactIndex:
-    """The index of one table: ``entries`` (bucket, key, chain, keep_id, group_size, text_sha256, text) and
-    ``members`` (key, chain and the ids), read from shared files."""
+    """The index of one table: ``entries`` (bucket, key, chain, keep_id, group_size, text_sha256, text), read from
+    shared files, and the ids of each task's texts (``members``)."""
 
-    def __init__(self, directory: Directory, rows: DataFrame):
-        self.directory, self.rows = directory, rows
+    def __init__(self, directory: Directory, rows: DataFrame, members: DataFrame):
+        self.directory, self.rows, self.members = directory, rows, members
         self.entries = rows.filter("kind = 1").selectExpr("bucket", "key", "chain", "best AS keep_id", "total AS group_size", "sha AS text_sha256", "text")
 
     def groups(self, id_col: str = "doc_id") -> DataFrame:
         """A row for each row of the table: id_col, keep_id, group_size, kept, text_sha256."""
         entries = self.rows.filter("kind = 1").selectExpr("key", "chain", "part AS keep_part", "seq AS keep_seq", "pos AS keep_pos", "best AS keep_id", "total AS group_size", "sha AS text_sha256")
-        members = self.rows.filter("kind = 0").select("key", "chain", "part", "seq", F.posexplode("ids").alias("at", "id"))
-        kept = (F.col("part") == F.col("keep_part")) & (F.col("seq") == F.col("keep_seq")) & (F.col("at") == F.col("keep_pos"))
-        return members.join(entries, ["key", "chain"]).select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+        where = join_hot_apart(self.rows.filter("kind = 0").select("key", "chain", "part", "seq"), entries, ["key", "chain"]).drop("key", "chain")
+        joined = self.members.join(where, ["part", "seq"])  # a task's text: packed ids on one side, one row on the other
+        rows = joined.select("part", "seq", "n", "keep_part", "keep_seq", "keep_pos", "keep_id", "group_size", "text_sha256", F.posexplode("ids").alias("at", "id"))
+        kept = (F.col("part") == F.col("keep_part")) & (F.col("seq") == F.col("keep_seq")) & (F.col("n") + F.col("at") == F.col("keep_pos"))
+        return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
     def probe(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with keep_id and group_size of the entry with the same bytes (null where there is none)."""
@@ -185,14 +195,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id stays; null ids are below all others, and of rows that repeat that id (or if all are
     null) exactly one stays. Other columns aren't read; an empty table gives an empty index.
     ``capacity`` is that of a bucket in distinct keys (by default 4096, or more so that there are at
-    most some 32,000 buckets); ``key`` replaces the 64-bit hash, for tests. Copies within a task become
-    one row before the shuffle, with at most 4096 ids, so no task gets all rows of a hot text.
+    most some 32,000 buckets) and ``owners`` the number of owner tasks (by default one for each 128 MB of text,
+    or the shuffle partitions if these are more); ``key`` replaces the 64-bit hash, for tests. Copies within a task
+    become one row and their ids stay in the task's files, so an owner gets a hot text once a task, and none of
+    its ids.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", key(F.col("text")) if key else F.xxhash64("text"))
-    keys = base.select("key").distinct()
+    keys = stored(base.groupBy("key").agg(F.sum(F.octet_length("text").cast("long")).alias("size")), "index-keys")
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if capacity is None:
-        capacity = max(CAPACITY, -(-keys.count() // MOST_BUCKETS))
+        capacity = max(CAPACITY, -(-n // MOST_BUCKETS))
 
     def count(depth, within):
         part = lambda d: F.shiftrightunsigned("key", 64 - d) if d < 64 else F.col("key")
@@ -200,15 +213,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {r[0] % 2**64: r[1] for r in some.groupBy(part(depth).alias("p")).count().collect()}  # at most 2 ** step prefixes for each overfull bucket
 
     directory = Directory(count, capacity)
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES))
     id_type = base.schema["id"].dataType
-    sent = T.StructType([T.StructField("owner", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(id_type))])
-    index = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("bucket", T.IntegerType()), ("key", T.LongType()), ("chain", T.IntegerType()), ("part", T.IntegerType()), ("seq", T.LongType()), ("ids", T.ArrayType(id_type)), ("best", id_type), ("pos", T.IntegerType()), ("total", T.LongType()), ("sha", T.StringType()), ("text", T.StringType()))])
+    kinds = {"kind": T.IntegerType(), "owner": T.IntegerType(), "bucket": T.IntegerType(), "key": T.LongType(), "chain": T.IntegerType(), "part": T.IntegerType(), "seq": T.LongType(), "text": T.StringType(), "ids": T.ArrayType(id_type), "best": id_type, "pos": T.LongType(), "n": T.LongType(), "total": T.LongType(), "sha": T.StringType()}
+    schema = lambda names: T.StructType([T.StructField(c, kinds[c]) for c in names.split()])
+    sent, index = schema("kind owner bucket key part seq text ids best pos n"), schema("kind bucket key chain part seq best pos total sha text")
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    combined = base.mapInArrow(_combine(directory.lows(), directory.owners(owners), to_arrow_schema(sent)), sent)
-    owned = combined.repartitionById(owners, F.col("owner")).sortWithinPartitions("bucket", "key").mapInArrow(_own(to_arrow_schema(index)), index)
-    return ExactIndex(directory, stored(owned, "exact-index"))
+    combined = stored(base.mapInArrow(_combine(directory.lows(), directory.owners(owners), to_arrow_schema(sent)), sent), "index-combined")
+    heads = combined.filter("kind = 1").select("owner", "bucket", "key", "part", "seq", "text", "best", "pos", "n")
+    owned = heads.repartitionById(owners, F.col("owner")).sortWithinPartitions("bucket", "key").mapInArrow(_own(to_arrow_schema(index)), index)
+    return ExactIndex(directory, stored(owned, "exact-index"), combined.filter("kind = 0").select("part", "seq", "n", "ids"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
