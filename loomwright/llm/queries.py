@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_top_k": topk.OP6_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,

@@ -14,16 +14,18 @@ import io
 import re
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored, text_or_empty
+from .common import fresh_path, join_hot_apart, stored, text_or_empty
 
 MAGIC = 0x184D2A5D
 SAMPLE_BYTES, SAMPLE_RECORDS, DICTIONARY_BYTES, RANGE_BYTES = 8_000_000, 4000, 112_640, 2_000_000
+MOST_BROADCAST = 500_000  # rows of a digest and an id
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, start long, length long, records long"
 
@@ -48,7 +50,10 @@ def build_record(page_id, url: str | None, html: str, refers_to, revisit: bool,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page, digest)), ("WARC-Date", date)]
     if url is not None:
-        headers.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
+        safe = re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: quote(m[0]), url)
+        headers.append(("WARC-Target-URI", safe))
+        if safe != url:  # so that it is read back as given
+            headers.append(("X-Target-URI", quote(url, safe="")))
     headers += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if page_id is not None:
         headers.append(("X-Page-Id", page))
@@ -79,8 +84,17 @@ def _dict(data: bytes):
 
 
 def _open(uri: str):
+    """The file system and path of a URI as Spark writes it: pyarrow's own ones (file, hdfs, s3, gs, abfss), with
+    Hadoop's names for these; a DBFS path by its mount."""
     from pyarrow import fs
 
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        uri = f"/dbfs/{rest.lstrip('/')}"
+    elif scheme == "file":
+        uri = f"/{rest.lstrip('/')}"
     return fs.FileSystem.from_uri(uri)
 
 
@@ -138,16 +152,18 @@ def _write(root: str, level: int, date: str):
     return run
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, refers_to, revisit. Only payloads that occur more than once are joined."""
+def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """page_id, url, html, refers_to, revisit. Only digests are grouped; those that occur more than once are
+    broadcast, so no html moves, if there are at most ``most_broadcast``, and else joined, hot ones apart."""
     base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), text_or_empty(html_col).alias("html")).withColumn("digest", F.unhex(F.sha2("html", 256)))
-    shared = base.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1").select("digest", "best", F.lit(True).alias("more"))
+    shared = stored(base.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1").select("digest", "best", F.lit(True).alias("more")), "warc-shared")
     revisit = F.coalesce(F.col("more"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("best"))
-    return base.join(shared, "digest", "left").select("page_id", "url", "html", F.when(revisit, F.col("best")).alias("refers_to"), revisit.alias("revisit"))
+    joined = base.join(F.broadcast(shared), "digest", "left") if shared.count() <= most_broadcast else join_hot_apart(base, shared, ["digest"], "left")
+    return joined.select("page_id", "url", "html", F.when(revisit, F.col("best")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write a record for each row of ``pages`` to archives under ``root`` (a URI that pyarrow opens) and
+    """Write a record for each row of ``pages`` to archives under ``root`` (a URI that Spark and pyarrow both open; see ``_open``) and
     return the manifest: archive, start, length, records of ranges of whole frames.
 
     Payloads are the html in UTF-8, null as empty. Of records with equal payloads that with the largest
@@ -196,11 +212,12 @@ def _read(with_payload: bool):
                 rows = []
                 for h, block in parse_records(io.BufferedReader(decompressor.stream_reader(io.BytesIO(data), read_across_frames=True), 1 << 20)):
                     kind = h["WARC-Type"]
+                    url = unquote(h["X-Target-URI"]) if "X-Target-URI" in h else h.get("WARC-Target-URI")
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
-                        rows.append((h.get("X-Page-Id"), h.get("WARC-Target-URI"), len(payload), digest32(payload), kind, None, payload if with_payload else None))
+                        rows.append((h.get("X-Page-Id"), url, len(payload), digest32(payload), kind, None, payload if with_payload else None))
                     elif kind == "revisit":
-                        rows.append((h.get("X-Page-Id"), h.get("WARC-Target-URI"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), kind, h.get("X-Refers-To-Page"), None))
+                        rows.append((h.get("X-Page-Id"), url, int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), kind, h.get("X-Refers-To-Page"), None))
                 for k in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[k : k + 1000], strict=True), schema, strict=True)], schema=schema)
 
@@ -221,3 +238,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = write_archives(pages, fresh_path(spark, "warc"))
     return read_archives(manifest, pages.schema["page_id"].dataType.simpleString(), with_payload=False).drop("url")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM p
+"""

@@ -52,6 +52,15 @@ def test_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), fresh_path(spark, "warc"))).collect() == []
 
 
+def test_urls_come_back_and_either_join_is_the_same(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(3)
+    urls = {i: u for i, u, _ in ROWS if i is not None}
+    got = warc.read_archives(warc.write_archives(pages, fresh_path(spark, "warc"))).collect()
+    assert all(r.url == urls[r.page_id] for r in got if r.page_id is not None)
+    joined, broadcast = (Counter(map(tuple, warc.with_revisits(pages, most_broadcast=n).collect())) for n in (0, 1000))
+    assert joined == broadcast
+
+
 def test_the_dictionary_pays():
     records = [warc.build_record(k, f"http://h/{k}", f"<html><head><title>{k}</title></head><body><nav>the same navigation bar everywhere</nav>{k * 7919}</body></html>", None, False, "d") for k in range(500)]
     d = zstandard.ZstdCompressionDict(warc.dictionary(records))
