@@ -3,12 +3,16 @@
 With M the largest norm, v' = (v, sqrt(M^2 - |v|^2)) and q' = (q, 0), larger inner products are smaller
 distances, so the join works in a metric space. Queries and data go to the cells of common pivots.
 From summaries of the cells (radius, smallest distances) every query cell gets a distance within which
-its queries surely find k neighbours; a vector is sent only to those groups of query cells for which
-it can lie within it. Groups are solved block by block and the blocks' best are merged.
+its queries surely find k neighbours. Query cells are put together to groups and data cells to blocks
+(large ones are split), and a group meets a block only if one of its cells may need one of the block's:
+then the block gets the group's queries, and the group those vectors that can lie within its distance.
+Each meeting is solved by itself and their best are merged.
 """
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,29 +20,59 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-PIVOTS, GROUP_QUERIES, BLOCK_ROWS = 64, 512, 16_384
-ROWS = "vec_id long, vector binary, dim int, norm2 double"
+LEAST_PIVOTS, MOST_PIVOTS, GROUP_QUERIES, BLOCK_ROWS = 64, 1024, 4096, 32_768
+ROWS = "row long, vec_id long, vector binary, dim int, norm2 double"
+
+
+def _packed(b, scale: float):
+    """Of a batch (row, id, v) the rows with a whole finite vector: their indexes, floor(scale * x) of all
+    components, and where each row's begin and end."""
+    import numpy as np
 
+    v = b.column("v")
+    values, offsets = v.values.to_numpy(zero_copy_only=False).astype(np.float64), v.offsets.to_numpy()
+    wrong = np.r_[0, np.cumsum(~np.isfinite(values))]  # a null component is NaN here
+    good = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False) & (wrong[offsets[1:]] == wrong[offsets[:-1]]))
+    with np.errstate(invalid="ignore"):
+        return good, np.floor(values * scale), offsets[:-1][good], offsets[1:][good]
 
-def _quantise(scale: float):
-    """Rows with a whole finite vector: floor(scale * x) of each component, packed."""
+
+def _quantise(scale: float, frame=None, m2: float = 0.0, dim: int = 0, every: int = 1):
+    """Packed rows; with a frame of pivots also each row's cell and distance, and those as a query."""
 
     def run(batches):
         import numpy as np
 
-        for b in batches:
-            out = []
-            for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                if i is None or v is None or any(x is None for x in v):
-                    continue
-                x = np.asarray(v, np.float64)
-                if not np.isfinite(x).all():
+        for whole in batches:
+            for k in range(0, whole.num_rows, 8192):
+                b = whole.slice(k, 8192)
+                b = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in b.columns], names=b.schema.names)
+                good, x, begins, ends = _packed(b, scale)
+                if not len(good):
                     continue
-                x = np.floor(x * scale)
-                out.append((i, x.astype("<i8").tobytes() if np.abs(x).max(initial=0) >= 2**31 else x.astype("<i4").tobytes(), len(x) * (1 if np.abs(x).max(initial=0) < 2**31 else -1), float(x @ x)))
-            if out:
-                ids, vectors, dims, norms = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64())], names=["vec_id", "vector", "dim", "norm2"])
+                vectors, dims, norms = [], [], []
+                for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
+                    own = x[i:j]
+                    wide = np.abs(own).max(initial=0) >= 2**31
+                    vectors.append(own.astype("<i8" if wide else "<i4").tobytes())
+                    dims.append(-len(own) if wide else len(own))
+                    norms.append(float(own @ own))
+                of = pa.array(good)
+                columns = [b.column("row").take(of), b.column("id").take(of), pa.array(vectors, pa.binary()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64())]
+                names = ["row", "vec_id", "vector", "dim", "norm2"]
+                if frame:
+                    m = _matrix(vectors, dims, dim)
+                    d = _distances(m, np.maximum(m2 - np.array(norms), 0), frame)
+                    cell = d.argmin(1)
+                    ids = columns[1].to_numpy(zero_copy_only=False)
+                    asks = np.flatnonzero(~np.isnan(ids) & (ids % every == 0)) if ids.dtype.kind == "f" else np.flatnonzero(ids % every == 0)
+                    q = _distances(m[asks], np.zeros(len(asks)), frame)
+                    ask_cell, ask_far = np.full(len(m), -1), np.zeros(len(m))
+                    ask_cell[asks] = q.argmin(1) if len(asks) else -1
+                    ask_far[asks] = q[np.arange(len(asks)), ask_cell[asks]]
+                    columns += [pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell]), pa.array(ask_cell, pa.int32()), pa.array(ask_far)]
+                    names += ["cell", "far", "ask_cell", "ask_far"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -64,158 +98,185 @@ def _distances(x, extra2, pivots):
     return np.sqrt(np.maximum(d2, 0))
 
 
-def _summarise(pivots, m2: float, dim: int, k: int, every: int):
-    """For each task and cell: how many, the largest distance and the k + 1 smallest, of data and of queries."""
+def _between(pivots):
+    import numpy as np
 
-    def run(batches):
-        import numpy as np
+    p, extra = pivots
+    d2 = (p * p).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * (p @ p.T) + (extra[:, None] - extra[None]) ** 2
+    return np.sqrt(np.maximum(d2, 0))
 
-        near: dict[int, object] = {}
-        queries: dict[int, list] = {}
-        for b in batches:
-            x = _matrix(b.column("vector").to_pylist(), b.column("dim").to_pylist(), dim)
-            ids = np.array(b.column("vec_id").to_pylist(), np.int64)
-            n2 = np.array(b.column("norm2").to_pylist())
-            d = _distances(x, np.maximum(m2 - n2, 0), pivots)
-            cell = d.argmin(1)
-            for c in np.unique(cell):
-                near[int(c)] = np.sort(np.concatenate([near.get(int(c), np.empty(0)), d[cell == c, c]]))[: k + 1]
-            q = ids % every == 0
-            d = _distances(x[q], np.zeros(int(q.sum())), pivots)
-            cell = d.argmin(1) if len(d) else np.empty(0, int)
-            for c in np.unique(cell):
-                n, radius = queries.get(int(c), (0, 0.0))
-                queries[int(c)] = n + int((cell == c).sum()), max(radius, float(d[cell == c, c].max()))
-        cells = sorted({*near, *queries})
-        if cells:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells, pa.int32()), pa.array([list(near.get(c, [])) for c in cells], pa.list_(pa.float64())), pa.array([queries.get(c, (0, 0.0))[0] for c in cells], pa.int64()), pa.array([queries.get(c, (0, 0.0))[1] for c in cells], pa.float64())],
-                names=["cell", "near", "queries", "radius"],
-            )
 
-    return run
+def bounds(between, near: dict[int, list[float]], radius: dict[int, float], k: int) -> dict[int, float]:
+    """The distance within which each query cell's queries find k neighbours besides themselves."""
+    import numpy as np
 
+    within = {}
+    for c in radius:
+        reach = np.sort(np.concatenate([between[c, j] + np.asarray(d) for j, d in near.items()]))
+        within[c] = radius[c] + reach[k] if len(reach) > k else math.inf
+    return within
 
-def bounds(pivots, cells: dict[int, tuple[list[float], int, float]], k: int, group_queries: int):
-    """(groups of query cells, distance within which each cell's queries find k neighbours besides themselves)."""
-    import numpy as np
 
-    p, extra = pivots
-    between = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(2) + (extra[:, None] - extra[None]) ** 2, 0))
-    within, groups, size = {}, [[]], 0
-    for c in sorted(c for c, (_, n, _) in cells.items() if n):
-        radius = cells[c][2]
-        reach = np.sort(np.concatenate([between[c, j] + np.asarray(near) for j, (near, _, _) in cells.items()]))
-        within[c] = radius + reach[k] if len(reach) > k else float("inf")
-        if size and size + cells[c][1] > group_queries:
-            groups.append([])
+def put_together(sizes: dict[int, int], between, most: int) -> list[tuple[list[int], int]]:
+    """Runs of cells, in the order of their distances from one pivot, of at most ``most`` rows, each with the number
+    of parts that it has: a larger cell is a run by itself, in parts."""
+    runs, size = [], most
+    for c in sorted(sizes, key=lambda c: (between[0, c], c)):
+        if size + sizes[c] > most:
+            runs.append(([], 1))
             size = 0
-        groups[-1].append(c)
-        size += cells[c][1]
-    return groups, within
+        runs[-1][0].append(c)
+        size += sizes[c]
+        if sizes[c] > most:
+            runs[-1] = (runs[-1][0], -(-sizes[c] // most))
+    return runs
+
+
+class Plan:
+    """Which vectors meet which queries, from the cells' summaries alone."""
+
+    def __init__(self, frame, m2, dim, cells, near, asks, k, group_queries, block_rows):
+        """cells: rows and radius of each data cell; asks: queries and radius of each query cell."""
+        import numpy as np
 
+        between = _between(frame)
+        self.frame, self.m2, self.dim = frame, m2, dim
+        self.slack = 1e-6 + 4e-9 * (m2**0.5 + 1) + 1e-7 * m2**0.5
+        self.reach = {c: x + asks[c][1] for c, x in bounds(between, near, {c: r for c, (_, r) in asks.items()}, k).items()}  # from the query cell's pivot
+        self.groups = put_together({c: n for c, (n, _) in asks.items()}, between, group_queries)
+        self.blocks = put_together({c: n for c, (n, _) in cells.items()}, between, block_rows)
+        self.group_of = {c: g for g, (own, _) in enumerate(self.groups) for c in own}
+        self.block_of = {c: b for b, (own, _) in enumerate(self.blocks) for c in own}
+        far = np.array([cells[c][1] if c in cells else 0.0 for c in range(len(between))])
+        self.meets = [[b for b, (own, _) in enumerate(self.blocks) if any((between[c, own] - far[own] <= self.reach[c] + self.slack).any() for c in group)] for group, _ in self.groups]
+
+    def part(self, rows, parts):
+        return (rows * 0x9E3779B1 >> 16) % parts
+
+    def of_queries(self, cells, rows):
+        """(index, group, part of it, block, part of it) of each meeting of some queries."""
+        for i, (c, r) in enumerate(zip(cells, rows, strict=True)):
+            g = self.group_of[c]
+            for b in self.meets[g]:
+                for part in range(self.blocks[b][1]):
+                    yield i, g, self.part(r, self.groups[g][1]), b, part
+
+    def of_vectors(self, cells, rows, x, norm2):
+        """The same of some vectors."""
+        import numpy as np
+
+        d = _distances(x, np.maximum(self.m2 - norm2, 0), self.frame)
+        for g, (group, parts) in enumerate(self.groups):
+            reach = np.array([self.reach[c] for c in group])
+            for i in np.flatnonzero((d[:, group] <= reach + self.slack).any(1)).tolist():
+                b = self.block_of[cells[i]]
+                for part in range(parts):
+                    yield i, g, part, b, self.part(rows[i], self.blocks[b][1])
 
-def _deal(pivots, m2: float, dim: int, groups, within, radius, every: int, blocks: int, queries: bool):
-    """Queries: to each block of their group. Data: to a block of each group that may need them."""
 
+def _deal(plan: Plan, queries: bool):
     def run(batches):
         import numpy as np
 
-        group_of = {c: g for g, cells in enumerate(groups) for c in cells}
-        for b in batches:
-            ids = np.array(b.column("vec_id").to_pylist(), np.int64)
-            x = _matrix(b.column("vector").to_pylist(), b.column("dim").to_pylist(), dim)
-            if queries:
-                at = np.flatnonzero(ids % every == 0)
-                if not len(at):
-                    continue
-                g = [group_of[int(c)] for c in _distances(x[at], np.zeros(len(at)), pivots).argmin(1)]
-                rows, to, block = np.repeat(at, blocks), np.repeat(g, blocks), np.tile(np.arange(blocks), len(at))
-            else:
-                d = _distances(x, np.maximum(m2 - np.array(b.column("norm2").to_pylist()), 0), pivots)
-                slack = 1e-6 + 1e-9 * (m2**0.5 + 1) * 4
-                need = np.stack([np.min([d[:, c] - radius[c] - within[c] for c in cells], axis=0) <= slack for cells in groups], 1)
-                rows, to = np.nonzero(need)
-                block = (ids[rows] * 0x9E3779B1 >> 16) % blocks
-            for k in range(0, len(rows), 8192):
-                own = pa.array(rows[k : k + 8192])
-                yield pa.RecordBatch.from_arrays([pa.array(to[k : k + 8192], pa.int32()), pa.array(block[k : k + 8192], pa.int32()), *(b.column(c).take(own) for c in ("vec_id", "vector", "dim"))], names=["grp", "block", "vec_id", "vector", "dim"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4096):
+                b = whole.slice(k, 4096)
+                rows = b.column("row").to_pylist()
+                if queries:
+                    sent = plan.of_queries(b.column("ask_cell").to_pylist(), rows)
+                else:
+                    x = _matrix(b.column("vector").to_pylist(), b.column("dim").to_pylist(), plan.dim)
+                    sent = plan.of_vectors(b.column("cell").to_pylist(), rows, x, b.column("norm2").to_numpy())
+                while some := [m for m, _ in zip(sent, range(8192), strict=False)]:
+                    which, *meeting = zip(*some, strict=True)
+                    of = pa.array(which)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(m, pa.int32()) for m in meeting), *(b.column(c).take(of) for c in ("row", "vec_id", "vector", "dim"))], names=["grp", "gpart", "block", "bpart", "row", "vec_id", "vector", "dim"])
 
     return run
 
 
 def _solve(dim: int, k: int):
+    schema = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
     def best(key, queries, data):
         import numpy as np
 
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not queries.num_rows or not data.num_rows:
             return schema.empty_table()
-        data = data.sort_by("vec_id")
-        ids = np.array(data["vec_id"].to_pylist(), np.int64)
+        data = data.sort_by([("vec_id", "ascending"), ("row", "ascending")])  # nulls come last
+        rows = data["row"].to_numpy()
         v = _matrix(data["vector"].to_pylist(), data["dim"].to_pylist(), dim)
-        q_ids = queries["vec_id"].to_pylist()
+        asks, q_ids = queries["row"].to_pylist(), queries["vec_id"].to_pylist()
         q = _matrix(queries["vector"].to_pylist(), queries["dim"].to_pylist(), dim)
         exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * dim < 2**53
-        out = [[], [], []]
-        for s in range(0, len(q_ids), 256):
+        out, at_all = [[], [], []], []
+        for s in range(0, len(asks), 128):
             if exact:
-                scores = (q[s : s + 256] @ v.T).astype(np.int64)
+                scores = (q[s : s + 128] @ v.T).astype(np.int64)
             else:
                 to_int = np.vectorize(int, otypes=[object])
-                scores = to_int(q[s : s + 256]) @ to_int(v).T
-            for qid, row in zip(q_ids[s : s + 256], scores, strict=True):
-                at = np.flatnonzero(ids != qid)
+                scores = to_int(q[s : s + 128]) @ to_int(v).T
+            for ask, qid, row in zip(asks[s : s + 128], q_ids[s : s + 128], scores, strict=True):
+                if exact and len(row) > k + 1:  # at least the best k besides the query's own row
+                    at = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])
+                else:
+                    at = np.arange(len(row))
+                at = at[rows[at] != ask]
                 own = row[at]
-                if len(own) > k:
-                    keep = own >= np.partition(own, len(own) - k)[len(own) - k]
-                    at, own = at[keep], own[keep]
                 order = np.argsort(-own, kind="stable")[:k]  # ids ascend, so ties go to the smaller
-                out[0] += [qid] * len(order)
-                out[1] += ids[at[order]].tolist()
+                out[0] += [ask] * len(order)
+                out[1] += [qid] * len(order)
+                at_all.append(at[order])
                 out[2] += [int(x) for x in own[order]]
-        return pa.table(out, schema=schema)
+        found = pa.array(np.concatenate(at_all))
+        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), data["row"].take(found), data["vec_id"].take(found), pa.array(out[2], pa.int64())], schema=schema)
 
     return best
 
 
-def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k rows with the highest inner products for each query.
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by ``query_every``;
-    candidates all rows with another id; ties go to the smaller id; a query gets all if they are fewer
-    than k. Rows with a null id, a null vector, or null or non-finite components take no part. An id
-    stands for one vector: if it repeats, the least vector (by bytes) counts. Shorter vectors end in
-    zeros; a score beyond 64 bits is an error. Other columns aren't read; an empty table gives no rows. The driver gets the pivots and a
-    summary of each cell; what is sent to a task is bounded by group_queries and block_rows.
+    candidates all other rows, also those with the query's id or a null one; ties go to the smaller id (null
+    last); a query gets all if they are fewer than k. Every row counts: of rows that repeat a query's id each
+    is a query of its own. Rows with a null vector or null or non-finite components take no part. Shorter vectors
+    end in zeros; a score beyond 64 bits is an error. Other columns aren't read; an empty table gives no rows.
+    The driver gets the pivots (about the square root of the rows, 64 to 1024) and a summary of each cell. A
+    task gets about ``group_queries`` queries and ``block_rows`` vectors at once: larger cells are split.
     """
     import numpy as np
 
-    raw = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    spark = vectors.sparkSession
+    raw = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     packed = raw.mapInArrow(_quantise(scale), ROWS)
-    data = stored(packed.groupBy("vec_id").agg(F.min(F.struct("vector", "dim", "norm2")).alias("m")).select("vec_id", "m.*"), "topk-vectors")
-    facts = data.agg(F.count("*"), F.max(F.abs("dim")), F.max("norm2")).first()
-    n, dim, m2 = facts
-    empty = "query_id long, rank int, vec_id long, score long"
+    n, dim, m2 = packed.agg(F.count("*"), F.max(F.abs("dim")), F.max("norm2")).first()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
-        return data.sparkSession.createDataFrame([], empty)
+        return empty
     dim = max(dim, 1)
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)))
+    chosen = packed.select("vector", "dim", "norm2").orderBy(F.xxhash64("vector"), "vector").limit(pivots).collect()
     p = _matrix([bytes(r["vector"]) for r in chosen], [r["dim"] for r in chosen], dim)
     frame = p, np.sqrt(np.maximum(m2 - np.array([r["norm2"] for r in chosen]), 0))
-    parts = data.mapInArrow(_summarise(frame, m2, dim, k, query_every), "cell int, near array<double>, queries long, radius double")
-    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1)
-    cells = {r["cell"]: (r["near"], r["queries"], r["radius"]) for r in parts.groupBy("cell").agg(smallest.alias("near"), F.sum("queries").alias("queries"), F.max("radius").alias("radius")).collect()}
-    groups, within = bounds(frame, cells, k, group_queries)
-    if not within:
-        return data.sparkSession.createDataFrame([], empty)
-    radius = {c: x[2] for c, x in cells.items()}
-    blocks = -(-n // block_rows)
-    sent = "grp int, block int, vec_id long, vector binary, dim int"
-    deal = lambda queries: data.mapInArrow(_deal(frame, m2, dim, groups, within, radius, query_every, blocks, queries), sent).groupBy("grp", "block")
-    local = deal(True).cogroup(deal(False)).applyInArrow(_solve(dim, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    data = stored(raw.mapInArrow(_quantise(scale, frame, m2, dim, query_every), f"{ROWS}, cell int, far double, ask_cell int, ask_far double"), "topk-vectors")
+    cells = {c: (n, r) for c, n, r in data.groupBy("cell").agg(F.count("*"), F.max("far")).collect()}  # a row for each pivot at most
+    asks = {c: (n, r) for c, n, r in data.filter("ask_cell >= 0").groupBy("ask_cell").agg(F.count("*"), F.max("ask_far")).collect()}
+    if not asks:
+        return empty
+    order = Window.partitionBy("cell").orderBy("far")
+    near: dict[int, list[float]] = {}
+    for c, d in data.select("cell", "far", F.row_number().over(order).alias("nth")).filter(F.col("nth") <= k + 1).select("cell", "far").collect():  # k + 1 rows for each pivot
+        near.setdefault(c, []).append(d)
+    plan = Plan(frame, m2, dim, cells, near, asks, k, group_queries, block_rows)
+    sent = "grp int, gpart int, block int, bpart int, row long, vec_id long, vector binary, dim int"
+    meeting = ["grp", "gpart", "block", "bpart"]
+    asked = data.filter("ask_cell >= 0").mapInArrow(_deal(plan, True), sent).groupBy(*meeting)
+    given = data.mapInArrow(_deal(plan, False), sent).groupBy(*meeting)
+    local = asked.cogroup(given).applyInArrow(_solve(dim, k), "ask long, query_id long, row long, vec_id long, score long")
+    best = Window.partitionBy("ask").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
+    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
