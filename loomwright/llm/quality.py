@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, fresh, stored, text_or_empty
+from .common import begin, fresh, join_hot_apart, stored, text_or_empty
 
-MAX_LABELLED, MAX_TERMS, PREFIX = 12_000, 5000, 5
+MAX_LABELLED, PREFIX = 12_000, 5
+MOST_BROADCAST = 200_000  # rows of a site
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS, _UPPER, _DIGITS = b"!#$%&*+/<=>@[\\]^_`{|}~", bytes(range(65, 91)), b"0123456789"
 FEATURES = ["bias", "symbols", "uppercase", "digits", "adjacent_repeats", "symbol_words", "distinct_share", "log_words", "terms", "terms_per_word", "term_weight"]
@@ -107,8 +108,10 @@ def _vectors(lexicon):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``max_labelled`` labelled documents, those whose ids hash lowest. Labels that are
-    null or whose document is missing don't count; of several for one id the worst counts."""
+    """Fit on at most ``max_labelled`` labelled documents, those whose ids hash lowest. The lexicon holds every
+    term (a word or the beginning of one) that is surely (two standard errors) e^2 times as likely in toxic
+    ones, if three of these have it. Labels that are null or whose document is missing don't count; of several
+    for one id the worst counts. Without usable labels nothing is held to be unwanted."""
     import numpy as np
 
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
@@ -121,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
         a, c = F.col("bad"), F.col("n") - F.col("bad")
         odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((c + 0.5) / (n - bad - c + 0.5))
         error = F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
-        low = counts.select("term", (odds - 2 * error).alias("low")).filter("low > 2").orderBy(F.col("low").desc(), "term").limit(MAX_TERMS)
-        lexicon = {r["term"]: float(r["low"]) for r in low.collect()}
+        low = counts.select("term", (odds - 2 * error).alias("low")).filter("low > 2")
+        lexicon = {r["term"]: float(r["low"]) for r in low.collect()}  # all such terms; the sample bounds them
     rows = sample.select("text", "quality", "toxic").mapInArrow(_vectors(lexicon), "x array<double>, quality int, toxic int").collect()  # at most max_labelled short rows
     if not rows:
         return Model({}, [[-9.0] + [0.0] * (len(FEATURES) - 1)], 0.5)
@@ -158,9 +161,9 @@ def _site_columns(host_col: str, path_col: str):
     return site(host_col), site(path_col)
 
 
-def _posterior(p: Column, base: float) -> tuple[Column, Column]:
+def _posterior(p: Column, base: float, n: Column, s: Column, rate: Column, strength: Column) -> tuple[Column, Column]:
     """(site prior without the document itself, posterior)."""
-    prior = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.col("s") - p + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))))
+    prior = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (s - p + strength * rate) / (n - 1 + strength)))
     logit = F.log(p / (1 - p)) - math.log(base / (1 - base)) + F.log(prior / (1 - prior))
     return prior, 1 / (1 + F.exp(-logit))
 
@@ -181,31 +184,32 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id_col, evidence (the classifier's probability of being unwanted),
     site_prior, posterior, keep (posterior <= threshold).
 
-    Null texts count as empty; null hosts and paths are sites of their own; null and repeated ids and
-    repeated rows are scored each; other columns aren't read; an empty table gives no rows. Site
-    statistics cover all rows. Texts aren't shuffled: each site's sums are joined to short rows.
+    A site is a host and a path below it; tables without paths may give another column that parts a host, as
+    the default does with ``lang``. Null texts count as empty; null hosts and paths are sites of their own; null
+    and repeated ids and repeated rows are scored each; other columns aren't read; an empty table gives no rows.
+    Site statistics cover all rows. Texts aren't shuffled: each site's sums are joined to short rows, hot
+    sites apart.
     """
     host, path = _site_columns(host_col, path_col)
     short = docs.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"), _probability(model)(text_or_empty(text_col)).alias("p"))
     scored = stored(short, "quality-scores")
-    prior, posterior = _posterior(F.col("p"), model.base)
-    return scored.join(site_priors(scored), ["host", "path"]).select(F.col("id").alias(id_col), F.col("p").alias("evidence"), prior.alias("site_prior"), posterior.alias("posterior"), (posterior <= threshold).alias("keep"))
+    prior, posterior = _posterior(F.col("p"), model.base, *(F.col(c) for c in ("n", "s", "host_rate", "strength")))
+    return join_hot_apart(scored, stored(site_priors(scored), "quality-sites"), ["host", "path"]).select(F.col("id").alias(id_col), F.col("p").alias("evidence"), prior.alias("site_prior"), posterior.alias("posterior"), (posterior <= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with all their columns. The texts are scored twice (for the
-    sites' sums, then for the rows) rather than stored or shuffled."""
+    """The rows of ``docs`` that ``score`` keeps, with all their columns. Each text is scored once: the rows are
+    stored with their scores, and the sites' sums broadcast if they are few, else joined, hot sites apart."""
     host, path = _site_columns(host_col, path_col)
-    p = _probability(model)(text_or_empty(text_col))
-    sites = stored(site_priors(docs.select(host.alias("host"), path.alias("path"), p.alias("p"))), "quality-sites")
     h, q, own = fresh(docs, "_host"), fresh(docs, "_path"), fresh(docs, "_p")
-    sums = [fresh(docs, f"_{c}") for c in ("n", "s", "host_rate", "strength")]
+    scored = stored(docs.withColumns({h: host, q: path, own: _probability(model)(text_or_empty(text_col))}), "quality-scored")
+    sites = stored(site_priors(scored.select(F.col(h).alias("host"), F.col(q).alias("path"), F.col(own).alias("p"))), "quality-sites")
+    sums = [fresh(scored, f"_{c}") for c in ("n", "s", "host_rate", "strength")]
     renamed = sites.select(F.col("host").alias(h), F.col("path").alias(q), *[F.col(c).alias(a) for c, a in zip(("n", "s", "host_rate", "strength"), sums, strict=True)])
     n, s, rate, strength = (F.col(c) for c in sums)
-    prior = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (s - F.col(own) + strength * rate) / (n - 1 + strength)))
-    logit = F.log(F.col(own) / (1 - F.col(own))) - math.log(model.base / (1 - model.base)) + F.log(prior / (1 - prior))
-    joined = docs.withColumns({h: host, q: path, own: p}).join(renamed, [h, q])
-    return joined.filter(1 / (1 + F.exp(-logit)) <= threshold).select(*[f"`{c}`" for c in docs.columns])
+    joined = scored.join(F.broadcast(renamed), [h, q]) if sites.count() <= MOST_BROADCAST else join_hot_apart(scored, renamed, [h, q])
+    _, posterior = _posterior(F.col(own), model.base, n, s, rate, strength)
+    return joined.filter(posterior <= threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,14 @@ def test_near_equal_and_target(spark):
         sizes = [r[0] for r in out.groupBy("shard").sum("size").select("sum(size)").collect()]
         assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.02 * total / 16
     assert kd_shards(docs.limit(0), n_shards=16).collect() == []
+
+
+def test_many_shards_and_stored_levels(spark):
+    """More shards than a plan could hold as an expression; a leaf for each text, if need be."""
+    docs = spark.createDataFrame([(k, "x" * (k % 97) + f" {k}") for k in range(6000)] + [(None, "hot")] * 500, "doc_id long, text string")
+    got = kd_shards(docs, n_shards=5000).collect()
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r.slot)
+    assert len(got) == 6500 and len(shards) > 3000 and max(shards) < 5000
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
