@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import begin, fresh, memory, stored, text_or_empty, trim
-from .graph import Forest, components
+from .common import begin, fresh, join_hot_apart, memory, stored, text_or_empty, trim
+from .graph import ONE_TASK_EDGES, Forest, components
 
 WORDS, NUM, DEN = 5, 75, 100  # n-gram length; links have DEN * intersection >= NUM * union
 LOCALLY_COMMON, MOST_COMMON, BLOCK_NGRAMS = 3, 1_000_000, 4_000_000
@@ -185,7 +185,7 @@ def must_share(n):
     return np.where(n < LARGE_SET, 1, n // MORE_SHARED)
 
 
-def _describe(words: int):
+def _describe(words: int, locally_common: int):
     """A row per document (kind 0: id, doc, key, n) and per locally common n-gram (kind 1: key, n)."""
 
     def run(batches):
@@ -200,7 +200,7 @@ def _describe(words: int):
             grams.sort()
             first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
             grams, counts = grams[first], np.diff(np.append(first, len(grams)))
-            grams, counts = grams[counts >= LOCALLY_COMMON].view(np.int64), counts[counts >= LOCALLY_COMMON]
+            grams, counts = grams[counts >= locally_common].view(np.int64), counts[counts >= locally_common]
             for k in range(0, len(grams), 50_000):
                 own = len(grams[k : k + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(own, np.int32)), pa.nulls(own, id_type), pa.nulls(own, pa.int64()), pa.array(grams[k : k + 50_000]), pa.array(counts[k : k + 50_000].astype(np.int64))], names=["kind", "id", "doc", "key", "n"])
@@ -499,10 +499,11 @@ class NgramJoin:
     def labelled(self) -> DataFrame:
         """docs with label: equal for linked documents; documents without words have none."""
         label = F.when(F.col("n") > 0, F.coalesce("root", "key"))
-        return self.docs.join(self.roots, "key", "left").select("id", "doc", "n", label.alias("label"))
+        joined = join_hot_apart(self.docs, self.roots, ["key"], "left").select("id", "doc", "n", label.alias("label"))
+        return stored(joined, "ngram-labelled")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, long_list: int = LONG_LIST) -> NgramJoin:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, long_list: int = LONG_LIST, trie_sets: int = TRIE_SETS, locally_common: int = LOCALLY_COMMON, most_broadcast: int = MOST_BROADCAST, one_task_edges: int = ONE_TASK_EDGES) -> NgramJoin:
     """Join the n-gram sets of all whole texts; links have den * intersection >= num * union.
 
     A-Z are lower-cased and words are runs of other than ASCII white space; a text with fewer than ``words``
@@ -510,15 +511,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with nothing. N-grams and sets are compared as 64-bit hashes. Equal sets are one set from the start,
     so copies and repeated rows cost nothing; null ids are allowed; an empty table gives an empty join.
     The common n-grams that the order needs (at most a million) are the only thing broadcast; any order
-    gives the same links, and so does any ``long_list`` (postings of an n-gram that are held apart). Groups beyond 256 sets are worked in blocks of that size: each with hubs of the
-    group first, and then only the sets that are still apart with the rest.
+    gives the same links, and so do any ``long_list`` (postings of an n-gram that are held apart),
+    ``locally_common`` (how often in a block of documents an n-gram is counted as common), ``most_broadcast``
+    (rows of a hash that are broadcast) and ``one_task_edges`` (see ``components``). Groups beyond ``trie_sets``
+    sets are worked in blocks of that size: each with hubs of the group first, and then only the sets that are
+    still apart with the rest.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     described = T.StructType([T.StructField("kind", T.IntegerType()), base.schema["id"], *(T.StructField(c, T.LongType()) for c in ("doc", "key", "n"))])
     raw = base.withColumn("doc", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
-    rows = stored(raw.mapInArrow(_describe(words), described), "ngram-docs")
+    rows = stored(raw.mapInArrow(_describe(words, locally_common), described), "ngram-docs")
     described = rows.filter("kind = 0").select("id", "doc", "key", "n")
     grams = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(MOST_COMMON).toArrow()
     import numpy as np
@@ -532,29 +536,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sent = raw.select("text").mapInArrow(_send(common, parts, num, den, words, long_list), "part int, postings binary, edges binary")
     candidates = sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(num, den, parts, long_list), "a long, b long")
-    groups = components(candidates)
+    groups = components(candidates, one_task_edges=one_task_edges)
     groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "ngram-groups")
 
     # one text of each candidate
     size = groups.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
     needed = described.groupBy("key").agg(F.min("doc").alias("doc")).join(groups.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key").join(size, "comp")
     needed = stored(needed, "ngram-needed")
-    few = F.broadcast(needed.select("doc")) if needed.count() <= MOST_BROADCAST else needed.select("doc")
+    few = F.broadcast(needed.select("doc")) if needed.count() <= most_broadcast else needed.select("doc")
     texts = raw.select("doc", "text").join(few, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
     sets = stored(texts.join(needed, "doc").select("key", "comp", "size", "text"), "ngram-texts")
     solve = lambda x: x.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_solve(common, num, den, words), "a long, b long")
     shape = lambda x, grp, role: x.select(grp.alias("grp"), F.lit(role).alias("role"), "key", F.col("label"), "text")
     one = lambda x: x.withColumn("label", F.col("key"))
-    links = solve(shape(one(sets.filter(F.col("size") <= TRIE_SETS)), F.struct("comp", F.lit(0).alias("x"), F.lit(0).alias("y")).cast("string"), 1))
+    links = solve(shape(one(sets.filter(F.col("size") <= trie_sets)), F.struct("comp", F.lit(0).alias("x"), F.lit(0).alias("y")).cast("string"), 1))
     roots = links.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
-    large = stored(size.filter(F.col("size") > TRIE_SETS).select("comp", F.ceil(F.col("size") / TRIE_SETS).cast("int").alias("blocks")), "ngram-large")
+    large = stored(size.filter(F.col("size") > trie_sets).select("comp", F.ceil(F.col("size") / trie_sets).cast("int").alias("blocks")), "ngram-large")
     if not large.isEmpty():
-        roots = roots.unionByName(_large_groups(sets.filter(F.col("size") > TRIE_SETS).drop("size"), large, shape, one, solve))
-    return NgramJoin(described, stored(roots, "ngram-roots"))
+        roots = roots.unionByName(_large_groups(sets.filter(F.col("size") > trie_sets).drop("size"), large, shape, one, solve, trie_sets, one_task_edges))
+    return NgramJoin(stored(described, "ngram-described"), stored(roots, "ngram-roots"))
 
 
-def _large_groups(sets, large, shape, one, solve) -> DataFrame:
+def _large_groups(sets, large, shape, one, solve, trie_sets, one_task_edges) -> DataFrame:
     """Links in groups that are too large for one trie: key, root."""
     block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
     members = sets.join(large, "comp").withColumn("block", block)
@@ -564,26 +568,26 @@ def _large_groups(sets, large, shape, one, solve) -> DataFrame:
     grp = F.struct("comp", F.col("block").alias("x"), F.lit(-1).alias("y")).cast("string")
     first = shape(one(members), grp, 1).unionByName(shape(one(hubs.withColumn("block", every)), grp, 1))
     links = stored(solve(first), "ngram-links")
-    found = components(links)
+    found = components(links, one_task_edges=one_task_edges)
     labels = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
     marked = stored(members.select("key", "comp", "label", "block", "blocks"), "ngram-labels")
     most = marked.groupBy("comp", "label").count().groupBy("comp").agg(F.max(F.struct("count", "label")).alias("m")).select("comp", F.col("m.label").alias("main"))
     apart = marked.join(most, "comp").filter("label != main").select("comp", "key", "label", "blocks")
-    left = apart.groupBy("comp").agg(F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("rblocks"))
+    left = apart.groupBy("comp").agg(F.ceil(F.count("*") / trie_sets).cast("int").alias("rblocks"))
     apart = apart.join(left, "comp").withColumn("rblock", F.pmod(F.xxhash64("key", F.lit(3)), F.col("rblocks")).cast("int")).join(sets, ["comp", "key"])
     grp = F.struct("comp", F.col("rblock").alias("x"), F.col("block").alias("y")).cast("string")
     again = shape(apart.withColumn("block", every), grp, 1).unionByName(shape(marked.join(left, "comp").join(sets, ["comp", "key"]).withColumn("rblock", F.explode(F.sequence(F.lit(0), F.col("rblocks") - 1))), grp, 0))
     more = stored(solve(again), "ngram-links")
-    return components(links.unionByName(more)).select(F.col("node").alias("key"), "root")
+    return components(links.unionByName(more), one_task_edges=one_task_edges).select(F.col("node").alias("key"), "root")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id (the smallest id reachable by links, itself
     included; null if all of these are null). See ``ngram_join``."""
     found = ngram_join(docs, id_col, text_col, **options).labelled()
-    least = found.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    return found.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    least = stored(found.filter("label is not null").groupBy("label").agg(F.min("id").alias("least")), "ngram-least")
+    return join_hot_apart(found, least, ["label"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -592,8 +596,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents without words all stay."""
     found = ngram_join(docs, id_col, text_col, **options).labelled().filter("label is not null")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc")
-    first = found.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = found.join(first, "label")
+    first = stored(found.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("size")).filter("size > 1"), "ngram-first")
+    members = join_hot_apart(found, first, ["label"])
     gone = stored(members.filter(~place.eqNullSafe(F.col("first"))).select("id", "doc").distinct(), "ngram-gone")
     again = members.filter(place.eqNullSafe(F.col("first"))).groupBy("id", "doc").count().filter("count > 1").select("id", "doc")
     doc, nth = fresh(docs, "_doc"), fresh(docs, "_nth")

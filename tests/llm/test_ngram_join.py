@@ -56,9 +56,9 @@ def corpus(seed, families=25):
 @pytest.mark.parametrize("seed,trie,long,common", [(1, 256, 32, 3), (2, 20, 6, 2), (3, 7, 3, 1000)])
 def test_same_as_brute_force(spark, monkeypatch, seed, trie, long, common):
     rows = corpus(seed)
-    monkeypatch.setattr(N, "TRIE_SETS", trie)
+    monkeypatch.setattr("loomwright.llm.common.LEAST_HOT", 5)
     docs = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, key string").repartition(3)
-    got = N.link_components(docs)
+    got = N.link_components(docs, trie_sets=trie, long_list=long, locally_common=common, most_broadcast=10**6 if seed == 1 else 0, one_task_edges=10**6 if seed == 1 else 0)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
     assert Counter(map(tuple, got.collect())) == brute(rows)
 
@@ -141,3 +141,19 @@ def test_long_lists_keep_links_between_blocks(spark):
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")  # y is in the second block
     got = {r.doc_id: r.component_id for r in N.link_components(docs, words=1, long_list=3).collect()}
     assert got == {k: 2 if 2 <= k < 8 or k == 12 else k for k in range(24)}
+
+
+@pytest.mark.parametrize("partitions,long_list", [(1, 256), (2, 256), (7, 256), (2, 5), (7, 40)])
+def test_families_in_several_blocks_are_one(spark, partitions, long_list):
+    """Copies that share 86 words of 100 with each other; the shortest and the longest have these words last."""
+    base = [f"b{k}" for k in range(94)]
+    doc = lambda shared, own, name: " ".join(base[: shared + 4] + [f"{name}r{k}" for k in range(own)])
+    rows = []
+    for part in range(2):
+        texts = [doc(86, 14, f"p{part}x{k}") for k in range(300)] + [doc(82, 16, f"p{part}s"), doc(86, 20, f"p{part}l")]
+        texts += [" ".join(base[82:90] + [f"p{part}y{k}f{j}" for j in range(220)]) for k in range(6)]
+        rows += [(part * 1000 + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.link_components(docs, long_list=long_list).collect()}
+    assert {got[p * 1000 + k] for p in range(2) for k in range(300)} == {0}
+    assert Counter((i, len(shingles(t)), got[i]) for i, t in rows) == brute(rows)
