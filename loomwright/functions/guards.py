@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # --- fixed values -----------------------------------------------------------
 PROMPT_INJECTION = [
     r"\bignore\s+(?:the\s+)?(?:previous|prior|all|these)\s+instructions\b",
@@ -170,6 +172,9 @@ SENSITIVE_KEYWORDS = [
     "disciplinary", "termination", "medical record", "health information", "hipaa", "payroll", "payroll data",
     "tax information", "w2", "1099",
 ]
+OWN_DATA = r"(?i)\bmy\s+(?:ssn|social\s+security\s+number)\b"
+ASKS_FOR_OTHERS = r"(?i)\b(?:show|list|find|give|export|reveal|display|provide|all|employee|employees|staff|workers)\b"
+REDACTED = r"(?i)\[[^\]]*\bredacted\b[^\]]*\]"
 LEAST_LENGTH, MOST_LENGTH, MOST_SPECIAL, MOST_REPEATED = 5, 2000, 0.4, 5
 # ----------------------------------------------------------------------------
 
@@ -223,11 +228,12 @@ def redact_pii(text: Column) -> Column:
 
 
 def sensitive_topic(text: Column) -> Column:
-    """Does the text ask for sensitive HR data? A statement of one's own SSN doesn't, unless it also asks."""
-    own = r"(?i)\bmy\s+(?:ssn|social\s+security\s+number)\b"
-    asks = r"(?i)\b(?:show|list|find|give|export|reveal|display|provide|all|employee|employees|staff|workers)\b"
-    rest = F.when(text.rlike(own) & ~text.rlike(asks), F.regexp_replace(text, own, "")).otherwise(text)
-    return rest.rlike(r"(?i)(?<!\w)(?:" + "|".join(SENSITIVE_KEYWORDS) + r")(?!\w)")
+    """Does the text ask for sensitive HR data, however its words are spaced? A mark of what was redacted doesn't, nor
+    does a statement of one's own SSN, unless it also asks."""
+    keyword = r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(SENSITIVE_KEYWORDS) + r")(?![\p{L}\p{N}_])"
+    plain = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), REDACTED, " ")
+    rest = let(plain, lambda x: F.when(x.rlike(OWN_DATA) & ~x.rlike(ASKS_FOR_OTHERS), F.regexp_replace(x, OWN_DATA, "")).otherwise(x))
+    return rest.rlike(keyword)
 
 
 def sanitise(text: Column, most: int = MOST_LENGTH) -> Column:

@@ -55,8 +55,15 @@ NO_CONTEXT_MARKERS = [
 ]
 # ----------------------------------------------------------------------------
 
-WORD_EDGE = r"[\p{L}\p{N}_]"
-BM25_TOKEN = rf"(?<!{WORD_EDGE})[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?!{WORD_EDGE})"
+WORD = r"[\p{L}\p{N}_]"
+#: Words are met at their first character, as those that aren't tokens are passed over whole.
+BM25_TOKEN = rf"([a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)(?!{WORD})|{WORD}++"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is worked out once however often the body names it (also within lambdas, where
+    Spark would repeat it for each element)."""
+    return F.transform(F.array(value), body)[0]
 
 
 def words_array(words: list[str]) -> Column:
@@ -65,11 +72,11 @@ def words_array(words: list[str]) -> Column:
 
 def has_any(text: Column, terms: list[str]) -> Column:
     """Does the text hold any of the terms (as substrings)?"""
-    return F.exists(words_array(terms), lambda t: F.contains(text, t))
+    return let(text, lambda x: F.exists(words_array(terms), lambda t: F.contains(x, t)))
 
 
 def count_of(text: Column, terms: list[str]) -> Column:
-    return F.size(F.filter(words_array(terms), lambda t: F.contains(text, t)))
+    return let(text, lambda x: F.size(F.filter(words_array(terms), lambda t: F.contains(x, t))))
 
 
 def normalise_query(text: Column, most: int = 8000) -> Column:
@@ -86,24 +93,24 @@ def clean_text(text: Column, most: int) -> Column:
 
 
 def bm25_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(BM25_TOKEN), F.lit(0))
+    return F.array_remove(F.regexp_extract_all(F.lower(text), F.lit(BM25_TOKEN), F.lit(1)), "")
 
 
 def plain_tokens(text: Column, least: int = 1) -> Column:
     """Runs of word characters, lower case, of at least ``least`` characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{WORD_EDGE}){WORD_EDGE}{{{least},}}(?!{WORD_EDGE})"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}{{{least},}}"), F.lit(0))
 
 
 def ascii_words(text: Column, stop_words: list[str], least: int = 3) -> Column:
     """Distinct ASCII words that stand between non-word characters, long enough and not stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{WORD_EDGE})[a-z0-9]{{{least},}}(?!{WORD_EDGE})"), F.lit(0))
-    return F.array_except(F.array_distinct(found), words_array(stop_words))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"([a-z0-9]{{{least},}}+)(?!{WORD})|{WORD}++"), F.lit(1))
+    return F.array_except(F.array_distinct(found), words_array(["", *stop_words]))
 
 
 def skill_terms(text: Column) -> Column:
     """The known skills that the text holds (as substrings, so "java" is found in "javascript"), in list order."""
     normal = F.regexp_replace(F.lower(text), r"[^a-z0-9+#.\- ]+", " ")
-    return F.filter(words_array(SKILLS), lambda s: F.contains(normal, s))
+    return let(normal, lambda x: F.filter(words_array(SKILLS), lambda s: F.contains(x, s)))
 
 
 def candidate_name(filename: Column, text: Column) -> Column:
@@ -130,21 +137,20 @@ def graph_route(text: Column, role: Column) -> Column:
 
 def policy_domain(text: Column) -> Column:
     """The domain with most of its keywords in the text; the first of equals."""
-    low = F.lower(text)
-    hits = {d: count_of(low, terms) for d, terms in DOMAINS.items()}
-    most = F.greatest(*hits.values())
-    chain = None
-    for d, n in hits.items():
-        test = (n > 0) & (n == most)
-        chain = F.when(test, d) if chain is None else chain.when(test, d)
-    return chain.otherwise("GeneralPolicy")
+
+    def first_of_most(hits: Column) -> Column:
+        chain = F.when(F.array_max(hits) == 0, "GeneralPolicy")
+        for k, d in enumerate(DOMAINS):
+            chain = chain.when(hits[k] == F.array_max(hits), d)
+        return chain
+
+    return F.coalesce(let(let(F.lower(text), lambda x: F.array(*[count_of(x, terms) for terms in DOMAINS.values()])), first_of_most), F.lit("GeneralPolicy"))
 
 
 def keyword_boost(score: Column, text: Column, keywords: Column, step: float = 0.1) -> Column:
     """min(1, score + step for each keyword in the text), if there is any."""
-    low = F.lower(text)
-    n = F.size(F.filter(keywords, lambda k: F.contains(low, k)))
-    return F.when(n > 0, F.least(F.lit(1.0), score + step * n)).otherwise(score)
+    n = let(F.lower(text), lambda x: F.size(F.filter(keywords, lambda k: F.contains(x, k))))
+    return let(n, lambda n: F.when(n > 0, F.least(F.lit(1.0), score + step * n)).otherwise(score))
 
 
 def token_estimate(text: Column) -> Column:
@@ -159,8 +165,7 @@ def model_choice(text: Column) -> Column:
 
 
 def no_context_answer(text: Column) -> Column:
-    low = F.lower(clean_text(text, 4000))
-    return (low == "") | has_any(low, NO_CONTEXT_MARKERS)
+    return let(F.lower(clean_text(text, 4000)), lambda x: (x == "") | F.exists(words_array(NO_CONTEXT_MARKERS), lambda t: F.contains(x, t)))
 
 
 def cache_hash(org: Column, namespace: Column, user: Column, role: Column, query: Column) -> Column:
@@ -204,3 +209,13 @@ def judge_score(text: Column) -> Column:
     inside = F.regexp_extract(text, r"(?s)(\{[^{}]*\})", 1)
     loose = F.regexp_extract(text, r"(?i)score\D{0,5}([0-9]+(?:\.[0-9]+)?)", 1)
     return F.coalesce(*[F.from_json(F.trim(x), kind)["score"] for x in (text, fenced, inside)], F.expr("null").cast("double"), F.when(loose != "", loose.cast("double")))
+
+
+def json_field(text: Column, kind: str, default: Column) -> Column:
+    """A JSON text as a value of the type ``kind``; ``default`` for null and bad JSON, and for another kind of value."""
+    return F.coalesce(F.from_json(text, kind, {"mode": "PERMISSIVE"}), default)
+
+
+def ends_after(start: Column, minutes: Column) -> Column:
+    """The end of an interval: start and minutes; null if it has none or doesn't end later."""
+    return F.when(minutes > 0, start + F.make_interval(mins=minutes))

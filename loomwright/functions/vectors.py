@@ -40,3 +40,8 @@ def valid(a: Column, dim: int) -> Column:
     """Of the right length, without null, NaN or infinite components."""
     whole = F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce((F.size(a) == dim) & whole, F.lit(False))
+
+
+def problem(a: Column, dim: int) -> Column:
+    """Why a vector is rejected; null if it isn't."""
+    return F.when(a.isNull(), "null").when(F.size(a) != dim, "wrong length").when(~valid(a, dim), "not finite")

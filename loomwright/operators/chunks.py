@@ -4,60 +4,64 @@ text is chunked by one UDF call; texts are spread over tasks."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP, LEAST, REACH = 300, 30, 50, 150
-_SENTENCE = re.compile(r"[.!?](?=\s|$)")
-KIND = "array<struct<chunk_index:int,content:string,char_start:int,char_end:int,char_length:int>>"
-
-
-def paragraph_end(text: str, start: int, end: int) -> int:
-    """The last paragraph break in the last 150 characters and beyond the middle, else the last sentence end
-    there that isn't a point between digits, else ``end``."""
-    low = max(start + (end - start) // 2, end - REACH)
-    at = text.rfind("\n\n", low, end)
-    return at + 2 if at > start else sentence_end(text, start, end, low)
-
-
-def sentence_end(text: str, start: int, end: int, low: int | None = None) -> int:
-    low = max(start, end - REACH) if low is None else low
-    best = end
-    for m in _SENTENCE.finditer(text, low, end):
-        k = m.start()
-        if not (k and text[k - 1].isdigit() and text[k + 1 : k + 2].isdigit()):
-            best = m.end()
-    return best
-
-
-def spans(text: str, size: int = SIZE, overlap: int = OVERLAP, merge: bool = False, parity: bool = False):
+_PARAGRAPH, _SENTENCE, _BODY = re.compile(r"(?=\n\n)"), re.compile(r"[.!?](?=\s)"), re.compile(r"\S(?:.*\S)?", re.S)
+
+
+class Boundaries:
+    """Where chunks of a text may end: all paragraph breaks and sentence ends, found once."""
+
+    def __init__(self, text: str, merge: bool):
+        self.text, self.merge = text, merge
+        self.breaks = [] if merge else [m.start() for m in _PARAGRAPH.finditer(text)]
+        self.stops = [m.end() for m in _SENTENCE.finditer(text)]
+
+    def before(self, start: int, end: int) -> int:
+        """The end of a chunk from ``start`` that can go to ``end``: after the last paragraph break that lies wholly
+        in its last 150 characters and begins beyond its middle; else after the last sentence end there (one at
+        the very end counts, whatever follows); else ``end``. With ``merge`` sentence ends only, which
+        must leave a chunk of over 50 characters."""
+        low = max(start, end - REACH)
+        at = bisect_right(self.breaks, end - 2) - 1
+        if at >= 0 and self.breaks[at] >= low and self.breaks[at] - start > (end - start) // 2:
+            return self.breaks[at] + 2
+        found = end
+        if self.text[end - 1] not in ".!?":
+            at = bisect_right(self.stops, end - 1) - 1
+            if at >= 0 and self.stops[at] > low:
+                found = self.stops[at]
+        return found if found - start > (LEAST if self.merge else 0) else end
+
+
+def windows(text: str, size: int, overlap: int, merge: bool, parity: bool):
+    """(start, end) of each chunk before trimming. A chunk begins ``overlap`` characters before the end of the one
+    before, but later than that one."""
+    limits, start, n = Boundaries(text, merge), 0, len(text)
+    while start < n:
+        end = start + size
+        end = limits.before(start, end) if end < n else n
+        yield start, end
+        if end == n and not parity:
+            return
+        start = max(end - overlap, start + 1)
+
+
+def spans(text: str, size: int = SIZE, overlap: int = OVERLAP, merge: bool = False, parity: bool = False) -> list[tuple[int, str, int, int]]:
     """(index, content, start, end) of each chunk; start and end without surrounding white space. ``merge``:
-    sentence ends only, and fragments under 50 characters join the chunk before and end the text. ``parity``
+    sentence ends only, and a fragment under 50 characters joins the chunk before and ends the text. ``parity``
     goes on after the end of the text in steps of one character, as the older behaviour did."""
-    out: list[list] = []
-    at, n = 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n:
-            cut = sentence_end(text, at, end) if merge else paragraph_end(text, at, end)
-            if cut > at + (LEAST if merge else 0):
-                end = cut
-        raw = text[at:end]
-        body = raw.strip()
-        if body:
-            start = at + len(raw) - len(raw.lstrip())
-            stop = max(start, end - (len(raw) - len(raw.rstrip())))
-            if merge and out and len(body) < LEAST:
-                out[-1][1] += " " + body
-                out[-1][3] = stop
-                break
-            out.append([len(out), body, start, stop])
-        if end >= n and not parity:
-            break
-        following = end - overlap
-        at = following if following > at else at + 1
+    out: list[tuple[int, str, int, int]] = []
+    for body in filter(None, (_BODY.search(text, a, b) for a, b in windows(text, size, overlap, merge, parity))):
+        if merge and out and len(body[0]) < LEAST:
+            index, content, start, _ = out.pop()
+            return [*out, (index, f"{content} {body[0]}", start, body.end())]
+        out.append((len(out), body[0], body.start(), body.end()))
     return out
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import has_any
+
 # --- fixed values -----------------------------------------------------------
 ROLE_LEVELS = {"viewer": 1, "editor": 2, "admin": 3}
 ACTION_ROLES = {
@@ -81,7 +83,7 @@ def visible_candidates(candidates: DataFrame, organization: str, user: str, is_a
 
 
 def job_search(jobs: DataFrame, department: str | None = None, location: str | None = None, kind: str | None = None, least_experience: int | None = None, remote: bool | None = None, keywords: list[str] | None = None) -> DataFrame:
-    """All matches; ``limit`` and the total are the caller's."""
+    """All matches; see ``page`` for a limit and the total."""
     if department:
         jobs = jobs.filter(F.lower("department") == department.lower())
     if location:
@@ -93,11 +95,41 @@ def job_search(jobs: DataFrame, department: str | None = None, location: str | N
     if remote is not None:
         jobs = jobs.filter(F.col("remote") == remote)
     if keywords:
-        text = F.lower(F.concat_ws(" ", "title", "description", "skills"))
-        jobs = jobs.filter(F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(text, k)))
+        jobs = jobs.filter(has_any(F.lower(F.concat_ws(" ", "title", "description", "skills")), [k.lower() for k in keywords]))
     return jobs
 
 
+def page(found: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` rows (1 to 100) in order, with the number of all as ``total``."""
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.orderBy(*order).limit(max(1, min(limit, 100))).crossJoin(F.broadcast(total))
+
+
+def same_scope(df: DataFrame, **scope) -> DataFrame:
+    """Rows whose columns equal the given values, nulls being equal to each other."""
+    for column, value in scope.items():
+        df = df.filter(F.col(column).eqNullSafe(F.lit(value)))
+    return df
+
+
+def scope_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with how many rows have the same scope (nulls being equal) as ``same_scope``: counts are joined back."""
+    counts = df.groupBy(*columns).agg(F.count("*").alias("same_scope")).select(*[F.col(c).alias(f"_{c}") for c in columns], "same_scope")
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(counts, same).drop(*[f"_{c}" for c in columns])
+
+
+def upserted_candidates(candidates: DataFrame, incoming: DataFrame) -> DataFrame:
+    """An upsert by organisation, file name and uploader; rows without one of these or without a name aren't taken."""
+    key = ["organization_id", "filename", "uploaded_by"]
+    whole = F.lit(True)
+    for c in (*key, "name"):
+        whole = whole & (F.coalesce(F.trim(F.col(c)), F.lit("")) != "")
+    return upserted(candidates, incoming.filter(whole), key, keep=("id",))
+
+
 def lookup(df: DataFrame, id_value, without: tuple[str, ...] = ()) -> DataFrame:
     return df.filter(F.col("id") == id_value).drop(*without)
 

@@ -1,7 +1,5 @@
 """Retrieval: exact kNN, BM25, fusion, reranking, boosts, citations, answers."""
 
-from __future__ import annotations
-
 import math
 
 from pyspark.sql import DataFrame
@@ -10,9 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from .relational import scoped
 
 MOST_TOP_K, MOST_QUERIES = 100, 100
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+MOST_TERMS = 100_000  # distinct terms of queries that are broadcast
 
 
 def top_k_of(k: int) -> int:
@@ -27,40 +27,62 @@ def ranked(df: DataFrame, k: int, by: str = "query_id", score: str = "score", ti
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def pool_of(k: int) -> int:
+    """How many candidates each list gives before fusion: three for each result, 100 at most."""
+    return min(3 * top_k_of(k), MOST_TOP_K)
+
+
+def in_blocks(queries: DataFrame, by: str, run) -> DataFrame:
+    """``run`` of the queries in blocks of about 100, one after another (one block if they are no more)."""
+    blocks = -(-queries.count() // MOST_QUERIES)
+    if blocks <= 1:
+        return run(queries)
+    marked, out = queries.withColumn("_block", F.pmod(F.xxhash64(by), F.lit(blocks))), None
+    for k in range(blocks):
+        part = run(marked.filter(F.col("_block") == k).drop("_block"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "doc_id", vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
-    """queries(query_id, query_vector), at most 100, against all ``vectors`` (already scoped): query_id, id,
-    score, rank. Queries are counted and broadcast; each task keeps its own best k."""
-    few = queries.limit(MOST_QUERIES + 1)
-    if few.count() > MOST_QUERIES:
-        raise ValueError("at most 100 queries; use blocks")
+    """queries(query_id, query_vector) against all ``vectors`` (already scoped): query_id, id, score, rank. Queries
+    are counted and broadcast in blocks of about 100; each task keeps its own best k of each."""
     if dim:
         vectors = vectors.filter(V.valid(F.col(vector_col), dim))
     score = {"l2": V.l2_score, "ip": V.dot, "cosine": V.cosine}[metric](F.col(vector_col), F.col("query_vector"))
-    pairs = vectors.join(F.broadcast(few), F.lit(True)).select("query_id", id_col, score.alias("score"))
-    return ranked(pairs, top_k_of(k), tie=id_col)
+
+    def run(few: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(few), F.lit(True)).select("query_id", id_col, score.alias("score"))
+        return ranked(pairs, top_k_of(k), tie=id_col)
+
+    return in_blocks(queries, "query_id", run)
 
 
 class BM25Index:
-    """Postings (doc_id, term, tf, dl), term_stats (term, idf) and corpus statistics of a corpus. Idf is
+    """tokens (doc_id, tokens, dl), term_stats (term, df, idf) and corpus statistics of a corpus. Idf is
     ln(N - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean idf."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         tokens = docs.select(F.col(id_col).alias("doc_id"), X.bm25_tokens(F.col(text_col)).alias("tokens"))
-        lengths = tokens.withColumn("dl", F.size("tokens"))
-        self.postings = lengths.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-        self.corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        self.tokens = tokens.withColumn("dl", F.size("tokens"))
+        self.corpus = self.tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+        df = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         raw = df.crossJoin(F.broadcast(self.corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw").alias("mean"))  # one row
         self.term_stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """queries(query_id, query): documents that share a term with the query; repeated terms count as often.
-        Only the queries' terms are looked up, so the postings move for those alone."""
+        Only the queries' terms leave the documents: the others are dropped where the text is read, if the
+        queries' distinct terms are few, and else by the join."""
         terms = queries.select("query_id", F.explode(X.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        weighed = self.term_stats.join(terms, "term")
+        wanted = terms.select("term").distinct()
+        few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+        own = self.tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+        postings = own.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
         weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        hits = self.postings.join(self.term_stats.join(terms, "term"), "term")
-        return hits.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+        return postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
     def search(self, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
         """``digits``: round scores before ranking, so that sums taken in another order rank alike."""
@@ -81,44 +103,51 @@ def fused(lists: list[DataFrame], weights: list[float] | None = None, k: int = M
     return ranked(both.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score")), top_k_of(k))
 
 
-def hybrid(bm25: DataFrame, vector: DataFrame, alpha: float, k: int) -> DataFrame:
-    """Fusion with weights (1 - alpha, alpha); a query that only one side has keeps that side's own scores."""
+def hybrid(bm25: DataFrame, vector: DataFrame, alpha: float, k: int, rrf_k: int = RRF_K, digits: int = 12) -> DataFrame:
+    """Fusion with weights (1 - alpha, alpha); a query that only one side has keeps that side's own scores and
+    order. Each list is read once."""
     alpha = min(1.0, max(0.0, alpha))
-    both = bm25.select("query_id").distinct().join(vector.select("query_id").distinct(), "query_id")
-    mixed = fused([bm25.join(both, "query_id", "left_semi"), vector.join(both, "query_id", "left_semi")], [1 - alpha, alpha], k)
-    columns = ["query_id", "doc_id", "score", "rank"]
-    single = [x.join(both, "query_id", "left_anti").select(*columns).filter(F.col("rank") <= k) for x in (bm25, vector)]
-    return mixed.select(*columns).unionByName(single[0]).unionByName(single[1])
+    side = lambda x, n, w: x.select("query_id", "doc_id", "score", "rank", F.lit(n).alias("side"), (F.lit(w) / (rrf_k + F.col("rank"))).alias("part"))
+    both = side(bm25, 0, 1 - alpha).unionByName(side(vector, 1, alpha))
+    docs = both.groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"), F.max("score").alias("own"), F.min("rank").alias("at"), F.min("side").alias("low"), F.max("side").alias("high"))
+    query = Window.partitionBy("query_id")
+    mixed = F.min("low").over(query) < F.max("high").over(query)
+    rows = docs.withColumn("_mixed", mixed).withColumn("score", F.when(F.col("_mixed"), F.round("part", digits)).otherwise(F.col("own")))
+    order = query.orderBy(F.when(F.col("_mixed"), 0).otherwise(F.col("at")), F.col("score").desc(), F.col("doc_id"))
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k_of(k)).select("query_id", "doc_id", "score", "rank")
 
 
 def _overlap(a, b):
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
-def heuristic_rerank(hits: DataFrame, k: int, digits: int = 12) -> DataFrame:
-    """hits(query_id, query, doc_id, content, score, rank): 0.55 score in [0, 1] + 0.35 Jaccard of tokens of two
+def heuristic_rerank(hits: DataFrame, k: int, digits: int = 12, scope: tuple[str, str] | None = None) -> DataFrame:
+    """With a ``scope`` (organisation, namespace) only that scope's hits take part. hits(query_id, query, doc_id, content, score, rank): 0.55 score in [0, 1] + 0.35 Jaccard of tokens of two
     characters or more + 0.10 if the content holds the query; ties keep the order."""
+    hits = scoped(hits, *scope) if scope else hits
     q, c = (F.array_distinct(X.plain_tokens(F.col(x), 2)) for x in ("query", "content"))
     phrase = F.when(F.contains(F.lower("content"), F.lower(F.trim("query"))), 1.0).otherwise(0.0)
     score = 0.55 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))) + 0.35 * _overlap(q, c) + 0.10 * phrase
     return ranked(hits.select("query_id", "doc_id", F.round(score, digits).alias("score"), F.col("rank").alias("position")), top_k_of(k), tie="position")
 
 
-def fallback_rerank(hits: DataFrame, k: int, digits: int = 12) -> DataFrame:
+def fallback_rerank(hits: DataFrame, k: int, digits: int = 12, scope: tuple[str, str] | None = None) -> DataFrame:
     """0.7 score + 0.3 Jaccard of tokens longer than one character; ties keep the order."""
+    hits = scoped(hits, *scope) if scope else hits
     q, c = (F.array_distinct(F.filter(X.plain_tokens(F.col(x)), lambda t: F.length(t) > 1)) for x in ("query", "content"))
     score = 0.7 * F.col("score") + 0.3 * _overlap(q, c)
     return ranked(hits.select("query_id", "doc_id", F.round(score, digits).alias("score"), F.col("rank").alias("position")), top_k_of(k), tie="position")
 
 
-def model_rerank(hits: DataFrame, predict, k: int) -> DataFrame:
+def model_rerank(hits: DataFrame, predict, k: int, scope: tuple[str, str] | None = None) -> DataFrame:
     """Rerank with a model: ``predict(queries, contents)`` gets two pandas Series and returns scores."""
     import pandas as pd
 
-    def run(query, content):
+    @F.pandas_udf("double")
+    def udf(query: pd.Series, content: pd.Series) -> pd.Series:
         return pd.Series(predict(query, content), dtype="float64")
 
-    udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)
+    hits = scoped(hits, *scope) if scope else hits
     return ranked(hits.select("query_id", "doc_id", udf("query", "content").alias("score"), F.col("rank").alias("position")), top_k_of(k), tie="position")
 
 
@@ -141,18 +170,34 @@ def extractive_answer(hits: DataFrame, n: int = 3, most: int = 400) -> DataFrame
 
 
 def talent_ranking(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
-    """candidates(candidate_id, resume_text, embedding) against jobs(job_id, description, embedding), at most 100:
-    semantic (cos + 1) / 2, keyword the share of the job's skills, fit 0.7 and 0.3 of them; in percent."""
-    few = jobs.limit(MOST_QUERIES + 1)
-    if few.count() > MOST_QUERIES:
-        raise ValueError("at most 100 jobs; use blocks")
-    few = few.select("job_id", X.skill_terms(F.col("description")).alias("wanted"), F.col("embedding").alias("job_vector"))
+    """candidates(candidate_id, resume_text, embedding) against jobs(job_id, description, embedding), in blocks of
+    about 100 jobs: semantic (cos + 1) / 2, keyword the share of the job's skills, fit 0.7 and 0.3 of them; in
+    percent. Candidates are ranked within their fit and keyword, of which there are some thousand values, after
+    all those of better ones, so a job's candidates are ranked by many tasks."""
     own = candidates.select("candidate_id", X.skill_terms(F.col("resume_text")).alias("skills"), "embedding")
     semantic = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (V.cosine(F.col("embedding"), F.col("job_vector")) + 1) / 2))
     matched = F.array_sort(F.array_intersect("skills", "wanted"))
-    keyword = F.when(F.size("wanted") > 0, F.size(matched) / F.size("wanted")).otherwise(0.0)
-    scored = own.join(F.broadcast(few), F.lit(True)).select("job_id", "candidate_id", semantic.alias("s"), keyword.alias("k"), F.array_join(matched, ", ").alias("matched_skills"))
+    keyword = F.when(F.size("wanted") > 0, F.size("matched") / F.size("wanted")).otherwise(0.0)
     percent = lambda c: F.round(c * 100, 1)
-    rows = scored.select("job_id", "candidate_id", percent(F.col("s")).alias("semantic"), percent(F.col("k")).alias("keyword"), percent(0.7 * F.col("s") + 0.3 * F.col("k")).alias("fit"), "matched_skills")
-    order = Window.partitionBy("job_id").orderBy(F.col("fit").desc(), F.col("keyword").desc(), "candidate_id")
-    return rows.withColumn("rank", F.row_number().over(order))
+
+    def run(few: DataFrame) -> DataFrame:
+        few = few.select("job_id", X.skill_terms(F.col("description")).alias("wanted"), F.col("embedding").alias("job_vector"))
+        pairs = own.join(F.broadcast(few), F.lit(True)).withColumn("matched", matched)
+        scored = pairs.select("job_id", "candidate_id", semantic.alias("s"), keyword.alias("k"), F.array_join("matched", ", ").alias("matched_skills"))
+        return scored.select("job_id", "candidate_id", percent(F.col("s")).alias("semantic"), percent(F.col("k")).alias("keyword"), percent(0.7 * F.col("s") + 0.3 * F.col("k")).alias("fit"), "matched_skills")
+
+    rows = in_blocks(jobs, "job_id", run)
+    level = ["job_id", "fit", "keyword"]
+    better = Window.partitionBy("job_id").orderBy(F.col("fit").desc(), F.col("keyword").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*level).agg(F.count("*").alias("n")).select(*level, F.coalesce(F.sum("n").over(better), F.lit(0)).alias("before"))
+    placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*level).orderBy("candidate_id"))).join(before, level)
+    return placed.select("job_id", "candidate_id", "semantic", "keyword", "fit", "matched_skills", (F.col("before") + F.col("nth")).cast("int").alias("rank"))
+
+
+def at_least(hits: DataFrame, threshold: float, k: int | None = None, by: str | None = None, tie: str = "doc_id") -> DataFrame:
+    """Hits with a score of ``threshold`` or more, best first; the best ``k`` of all or, with ``by``, of each query."""
+    good = hits.filter(F.col("score") >= threshold)
+    if by:
+        return ranked(good.drop("rank"), k, by=by, tie=tie) if k else good
+    good = good.orderBy(F.col("score").desc(), tie)
+    return good.limit(k) if k else good

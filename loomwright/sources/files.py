@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGES = {"png", "jpg", "jpeg", "tiff", "tif"}
-LEAST_PDF_TEXT = 200
+LEAST_PDF_TEXT, MOST_BYTES = 200, 50 * 1024 * 1024
 
 
 def backend(path):
@@ -126,9 +126,18 @@ def read_memory(spark: SparkSession, path: str, user: str, organization: str, mo
 
 
 def load_store(spark: SparkSession, path: str, organization: str, namespace: str, dim: int) -> DataFrame:
-    """A saved chunk store's scope, after checks: no repeated chunk ids, all vectors of the right length."""
-    rows = spark.read.parquet(path).filter((F.col("organization_id") == organization) & (F.col("namespace") == namespace))
-    n, ids, bad = rows.agg(F.count("*"), F.countDistinct("chunk_id"), F.count_if(F.size("embedding") != dim)).first()
-    if n != ids or bad:
-        raise ValueError(f"the store is damaged: {n - ids} repeated ids, {bad} vectors of another length")
-    return rows
+    """The scope of a saved store's current version, after checks: the whole store agrees with its manifest (rows,
+    ids, vectors' length, hashes), and its vectors have the right length."""
+    from .sinks import current_version, manifest_of, read_version
+
+    store, want = read_version(spark, current_version(spark, path))
+    found = manifest_of(store)
+    if want != found or found["ids"] != found["rows"] or found["dim"] not in (None, dim):
+        raise ValueError(f"the store is damaged: manifest {want}, found {found}, vectors of {dim} wanted")
+    return store.filter((F.col("organization_id") == organization) & (F.col("namespace") == namespace))
+
+
+def accepted_files(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """binaryFile rows with ``problem``: empty, too large, or of an unknown type; null if there is none."""
+    size = F.coalesce("length", F.length("content"))
+    return files.withColumn("problem", F.when(size == 0, "empty").when(size > most_bytes, "too large").when(backend(F.col("path")).isNull(), "unsupported type"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -13,22 +15,75 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def save_store(chunks: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap: readers see the old store or the new one; the old one stays as .bak."""
-    spark, stage = chunks.sparkSession, f"{path}.stage-{uuid.uuid4().hex}"
-    chunks.write.partitionBy("organization_id", "namespace").parquet(stage)
-    fs, target = _hadoop(spark, path)
-    _, backup = _hadoop(spark, f"{path}.bak")
-    _, staged = _hadoop(spark, stage)
-    if fs.exists(target):
-        fs.delete(backup, True)
-        fs.rename(target, backup)
-    if not fs.rename(staged, target):
-        raise OSError(f"could not move {stage} to {path}")
-
-
-def backup(spark: SparkSession, path: str, to: str) -> None:
-    spark.read.parquet(path).write.mode("overwrite").parquet(to)
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written beside and renamed over the old one."""
+    jvm, beside = spark._jvm, f"{path}.{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, beside)
+    out = fs.create(p)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    modes = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    modes[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(p), context.makeQualified(target), modes)
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def manifest_of(chunks: DataFrame) -> dict:
+    """What a store must agree with: rows, distinct chunk ids, the vectors' length (null if they differ) and a sum of
+    hashes of ids, contents and vectors that no order changes."""
+    vector = F.col("embedding") if "embedding" in chunks.columns else F.lit(None).cast("array<float>")
+    size = F.when(vector.isNotNull(), F.size(vector))
+    n, ids, least, most, total = chunks.agg(F.count("*"), F.countDistinct("chunk_id"), F.min(size), F.max(size), F.sum(F.xxhash64(*[c for c in ("chunk_id", "content") if c in chunks.columns], vector).cast("decimal(38,0)"))).first()
+    return {"rows": n, "ids": ids, "dim": least if least == most else None, "hash": str(total or 0)}
+
+
+def save_store(chunks: DataFrame, path: str) -> str:
+    """Write a new version of a store: a folder of its own with a manifest, then the pointer file that names it, in
+    one rename. Readers see the old version or the new one, never a part; older versions stay until they are
+    removed. Returns the version's folder. Chunk ids that repeat are an error."""
+    spark = chunks.sparkSession
+    name = f"version-{uuid.uuid4().hex}"
+    chunks.write.partitionBy("organization_id", "namespace").parquet(f"{path}/{name}")
+    manifest = manifest_of(spark.read.schema(chunks.schema).parquet(f"{path}/{name}"))
+    if manifest["rows"] != manifest["ids"]:
+        raise ValueError(f"{manifest['rows'] - manifest['ids']} repeated chunk ids")
+    _write_text(spark, f"{path}/{name}/_MANIFEST.json", json.dumps({"manifest": manifest, "schema": chunks.schema.jsonValue()}))
+    _write_text(spark, f"{path}/_CURRENT", name)
+    return f"{path}/{name}"
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder of a store's current version."""
+    name = _read_text(spark, f"{path}/_CURRENT")
+    if name is None:
+        raise FileNotFoundError(f"no store at {path}")
+    return f"{path}/{name}"
+
+
+def read_version(spark: SparkSession, version: str) -> tuple[DataFrame, dict]:
+    """A version's rows, by the schema that it was written with, and its manifest."""
+    text = _read_text(spark, f"{version}/_MANIFEST.json")
+    if text is None:
+        raise ValueError(f"the store is damaged: {version} has no manifest")
+    kept = json.loads(text)
+    return spark.read.schema(T.StructType.fromJson(kept["schema"])).parquet(version), kept["manifest"]
+
+
+def backup(spark: SparkSession, path: str, to: str) -> str:
+    """A copy of a store's current version as a store of its own, with the same partition layout and a manifest."""
+    return save_store(read_version(spark, current_version(spark, path))[0], to)
 
 
 def prometheus_lines(stats: DataFrame, prefix: str = "loomwright") -> DataFrame:

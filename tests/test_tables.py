@@ -72,7 +72,13 @@ def test_memory(spark):
     assert next(len(r.text) for r in kept if r.conv_id == 2) == 60
     short = [r for r in M.compressed(df).orderBy("turn").collect() if r.conv_id == 1]
     assert len(short) == 7 and short[0].role == "system" and short[0].text.startswith(M.SUMMARY_HEAD) and short[-1].turn == 29
-    assert len(M.summary_of([("user", "y" * 900)] * 20)) <= M.MOST_SUMMARY + 1 and M.summary_of([("user", " ")]) == M.NO_SUMMARY
+    told = [("user", " y" * 450), (None, "kept"), ("assistant", ""), ("user", "z" * 501)]
+    rows = [(4, k, "user", "y" * 900) for k in range(30)] + [(5, k, "user", " ") for k in range(30)] + [(6, k, *(told[k] if k < 4 else ("user", "late"))) for k in range(20)]
+    got = {r.conv_id: r.text for r in M.compressed(spark.createDataFrame(rows, df.schema)).filter("role = 'system'").collect()}
+    entry = "- USER: " + "y" * 500 + "…"
+    whole = M.SUMMARY_HEAD + "\n".join([entry] * 8)
+    assert got[4] == whole[: M.MOST_SUMMARY] + "…" and got[5] == M.NO_SUMMARY
+    assert got[6] == M.SUMMARY_HEAD + "\n".join(["- USER: " + ("y " * 250).rstrip() + "…", "- UNKNOWN: kept", "- USER: " + "z" * 500 + "…", *["- USER: late"] * 10])
 
 
 def test_evaluation_by_hand(spark):
@@ -104,6 +110,10 @@ def test_chunks_cover_the_text(spark):
     assert len(K.spans("a" * 300, parity=True)) == 31 and len(K.spans("a" * 300)) == 1 and len(K.spans("a" * 20, parity=True)) == 20
     with pytest.raises(ValueError):
         K.chunked(docs, size=10, overlap=10)
+    half = "a" * 150 + "\n\nb. " + "c" * 300
+    assert K.spans(half)[0][3] == 154, "a break that begins at the middle isn't beyond it"
+    assert K.spans("a" * 151 + "\n\nb. " + "c" * 300)[0][3] == 151
+    assert K.spans("x" * 298 + "1.5" + "y" * 50)[0][3] == 300 and K.spans("x" * 296 + "1.5. " + "y" * 50)[0][3] == 300
 
 
 def test_rate_limit(spark):
@@ -153,10 +163,22 @@ def test_store_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("c1", "o", "policy", [1.0]), ("c2", "o", "policy", [2.0])], "chunk_id string, organization_id string, namespace string, embedding array<double>")
     sinks.save_store(rows, path)
     sinks.save_store(rows.limit(1), path)
-    assert files.load_store(spark, path, "o", "policy", 1).count() == 1 and spark.read.parquet(path + ".bak").count() == 2
-    sinks.save_store(rows.unionByName(rows), path)
-    with pytest.raises(ValueError):
-        files.load_store(spark, path, "o", "policy", 1)
+    assert files.load_store(spark, path, "o", "policy", 1).count() == 1
+    with pytest.raises(ValueError, match="repeated"):
+        sinks.save_store(rows.unionByName(rows), path)
+    assert files.load_store(spark, path, "o", "policy", 1).count() == 1, "a failed save changes nothing"
+    with pytest.raises(ValueError, match="damaged"):
+        files.load_store(spark, path, "o", "policy", 2)
+    copy = sinks.backup(spark, path, str(tmp_path / "copy"))
+    assert (tmp_path / "copy").exists() and "organization_id=o" in "".join(spark.read.parquet(copy).inputFiles())
+    assert files.load_store(spark, str(tmp_path / "copy"), "o", "policy", 1).count() == 1
+    next((tmp_path / "copy").glob("version-*/organization_id=o/namespace=policy/*.parquet")).unlink()
+    with pytest.raises(ValueError, match="damaged"):
+        files.load_store(spark, str(tmp_path / "copy"), "o", "policy", 1)
+    with pytest.raises(FileNotFoundError):
+        files.load_store(spark, str(tmp_path / "none"), "o", "policy", 1)
+    found = files.accepted_files(spark.createDataFrame([("a.txt", 0), ("b.txt", 5), ("c.txt", 10**9), ("d.zzz", 5)], "path string, length long").withColumn("content", F.lit(None).cast("binary")))
+    assert [r.problem for r in found.collect()] == ["empty", None, "too large", "unsupported type"]
     (tmp_path / "gt.json").write_text('[{"question": "q", "ground_truth": "a"}, {"question": "", "ground_truth": "a"}, {"question": "only"}]')
     assert files.read_ground_truth(spark, str(tmp_path / "gt.json")).count() == 1
     (tmp_path / "mem.json").write_text('{"user_id": "u", "organization_id": "o", "messages": [{"role": "user", "content": "hi", "timestamp": "t"}, {"role": "hacker", "content": "x", "timestamp": "t"}]}')
@@ -164,4 +186,4 @@ def test_store_and_sinks(spark, tmp_path):
     sinks.write_memory(spark.createDataFrame([("u", "o", "user", "a", "1"), ("u", "o", "assistant", "b", "2")], "user_id string, organization_id string, role string, content string, timestamp string"), str(tmp_path / "out"))
     assert [r.content for r in files.read_memory(spark, str(tmp_path / "out"), "u", "o").collect()] == ["a", "b"]
     ics = sinks.calendar(spark.createDataFrame([("1", "Talk, with; care", NOW, 30)], "uid string, title string, start timestamp_ntz, minutes int")).first().ics
-    assert "DTEND:20240101T123000" in ics and "SUMMARY:Talk\\, with\; care" in ics
+    assert "DTEND:20240101T123000" in ics and "SUMMARY:Talk\\, with\\; care" in ics
