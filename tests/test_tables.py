@@ -127,8 +127,12 @@ def test_streams(spark, tmp_path):
     rows = [(k, "u", NOW + datetime.timedelta(seconds=k), float(k)) for k in range(6)]
     spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("event_id long, user_id string, ts timestamp_ntz, value double").parquet(str(tmp_path / "in"))
-    q = rate_limit.limited_stream(stream, limit=4).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # a processing-time timeout would go on for ever
+    try:
+        q = rate_limit.limited_stream(stream, limit=4).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert [r.accepted for r in spark.table("limited").orderBy("event_id").collect()] == [True] * 4 + [False] * 2
     for _ in range(2):
         windows.ingest(stream.selectExpr("cast(event_id % 3 AS string) AS chunk_id"), str(tmp_path / "store"), str(tmp_path / f"check{_}")).awaitTermination(120)
