@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 MOST_HOT, LEAST_HOT = 50_000, 200
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +43,17 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps start from
-    the files, so a lost executor costs no recomputation of what came before."""
+    the files, so a lost executor costs no recomputation of what came before. The shuffle files of the write
+    go with it, as nothing reads them again; else they would fill the executors' disks until the driver's
+    garbage collection."""
     spark = df.sparkSession
     path = path or fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
