@@ -80,11 +80,11 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     other columns stay; an empty table gives no rows. Only hashes are grouped (64 bits for a text, a line, a
     leaf), by line and document at once before either alone, and the rows of hot leaves, lines, templates
     and texts are joined apart, so none of these is gathered in a task; texts move once, to meet their lists
-    of lines.
+    of lines. That is so however few the lists are, so that inputs of all sizes take one plan.
     """
     gone = stored(recurring_lines(docs, id_col, text_col, depth, min_docs, constant, long_words, long_docs, most_broadcast), "line-gone")
     key, lines = fresh(docs, "_doc", *(counts or ())), fresh(docs, "_gone", *(counts or ()))
-    joined = join_hot_apart(docs.withColumn(key, F.xxhash64(text_or_empty(text_col))), gone.select(F.col("doc").alias(key), F.col("lines").alias(lines)), [key], "left")
+    joined = join_hot_apart(docs.withColumn(key, F.xxhash64(text_or_empty(text_col))), gone.select(F.col("doc").alias(key), F.col("lines").alias(lines)).hint("merge"), [key], "left")
     split, left = F.split(F.col(f"`{text_col}`"), "\n"), fresh(joined, "_left", *(counts or ()))
     joined = joined.withColumn(left, F.when(F.col(lines).isNotNull(), F.filter(split, lambda x: ~F.array_contains(F.col(lines), F.xxhash64(masked(x))))))
     kept = F.when(F.col(lines).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n"))
