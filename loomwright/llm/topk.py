@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,8 +65,8 @@ def _quantise(scale: float, frame=None, m2: float = 0.0, dim: int = 0, every: in
                     m = _matrix(vectors, dims, dim)
                     d = _distances(m, np.maximum(m2 - np.array(norms), 0), frame)
                     cell = d.argmin(1)
-                    ids = columns[1].to_numpy(zero_copy_only=False)
-                    asks = np.flatnonzero(~np.isnan(ids) & (ids % every == 0)) if ids.dtype.kind == "f" else np.flatnonzero(ids % every == 0)
+                    known = columns[1].is_valid().to_numpy(zero_copy_only=False)
+                    asks = np.flatnonzero(known & (pc.fill_null(columns[1], 0).to_numpy() % every == 0))  # as 64-bit integers throughout
                     q = _distances(m[asks], np.zeros(len(asks)), frame)
                     ask_cell, ask_far = np.full(len(m), -1), np.zeros(len(m))
                     ask_cell[asks] = q.argmin(1) if len(asks) else -1

@@ -36,6 +36,16 @@ def test_large_components_few_rows_and_repeats(spark):
     assert top_k(df.filter("vec_id = 50")).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_ids_of_all_64_bits_beside_nulls(spark, parts):
+    rows = [(None, [1.0, 2.0]), (1152921504606846950, [0.5, 0.25]), (1152921504606847000, [3.0, 1.0]), (1152921504606846951, [2.0, 2.0]), (-9223372036854775800, [0.1, 0.1]), (2**63 - 1, [0.2, 0.9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).repartition(parts)
+    want = brute(rows)
+    assert {q for q, *_ in want} == {1152921504606846950, 1152921504606847000, -9223372036854775800}
+    assert sorted(map(tuple, top_k(df).collect()), key=repr) == want
+    assert sorted(map(tuple, top_k(df.filter("vec_id is not null")).collect()), key=repr) == brute(rows[1:])
+
+
 def test_distant_groups_get_only_what_they_need():
     import numpy as np
 
