@@ -57,7 +57,7 @@ def guard_counters(verdicts: DataFrame) -> DataFrame:
     by = lambda *kinds: F.count_if(F.coalesce(F.col("reason").isin(*kinds), F.lit(False)))
     return verdicts.agg(
         F.count("*").alias("total"), F.count_if(~F.col("safe")).alias("blocked"), by("prompt_injection", "jailbreak", "code_injection", "sql_injection", "os_command").alias("injections"),
-        by("too_short", "too_long").alias("length_violations"), by("sensitive").alias("sensitive_blocked"), F.count_if(F.size("pii") > 0).alias("pii_detected"),
+        by("too_short", "too_long").alias("length_violations"), by("rate_limit").alias("rate_limited"), by("sensitive").alias("sensitive_blocked"), F.count_if(F.size("pii") > 0).alias("pii_detected"),
     )
 
 

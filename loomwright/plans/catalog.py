@@ -863,11 +863,29 @@ def a14_chunk_stats(t):
     return K.chunk_stats(K.chunked(t.documents))
 
 
-@query()
+def _limiter_sql(part: str, ip: str) -> str:
+    """Each part's requests one after another, with a list of what was accepted within the hour."""
+    return f"""WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY part ORDER BY ts, event_id) AS n FROM (SELECT event_id, user_id, {ip} AS ip, ts, {part} AS part FROM events)),
+    walk AS (SELECT DISTINCT part, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BOOLEAN AS accepted, []::STRUCT(us BIGINT, u BIGINT, ip VARCHAR)[] AS log FROM e
+      UNION ALL SELECT part, n, event_id, ok, CASE WHEN ok THEN list_append(live, {{'us': us, 'u': user_id, 'ip': ip}}) ELSE live END FROM
+        (SELECT *, len(list_filter(live, lambda x: x.u = user_id)) < 3 AND (ip IS NULL OR len(list_filter(live, lambda x: x.ip = ip)) < 3) AS ok FROM
+          (SELECT e.*, list_filter(walk.log, lambda x: x.us >= e.us - 3600000000) AS live FROM walk JOIN e ON e.part = walk.part AND e.n = walk.n + 1)))"""
+
+
+@query(_limiter_sql("user_id", "NULL::VARCHAR") + " SELECT event_id, user_id, ts, accepted FROM walk JOIN e USING (event_id)")
 def t1_rate_limit(t):
     return rate_limit.limited(t.events, limit=3, seconds=3600)
 
 
+#: Users of a network share its addresses and change them by the hour. The parts are found, not given.
+_ADDRESS = "concat('10.0.', user_id % 50, '.', extract(hour FROM ts) % 3)"
+
+
+@query(_limiter_sql("user_id % 50", _ADDRESS) + " SELECT event_id, user_id, ip, ts, accepted FROM walk JOIN e USING (event_id)")
+def t1_two_identities(t):
+    return rate_limit.limited(t.events.withColumn("ip", F.expr(_ADDRESS)), limit=3, seconds=3600, key=("user_id", "ip"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def x_tumbling_windows(t):
     return _rounded(windows.windowed(t.events, "1 hour", by=["event_type"]), 4)

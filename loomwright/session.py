@@ -1,8 +1,8 @@
-"""A session with settings that suit these operators; a cluster's own settings win."""
+"""A session with settings that suit these operators; a cluster's own settings win. What iterative operators keep."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "loomwright", **settings: str) -> SparkSession:
@@ -13,3 +13,15 @@ def get_session(app: str = "loomwright", **settings: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return SparkSession.builder.appName(app).config(map=defaults | settings).getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the folder in spark.checkpoint.dir, so that later steps start from files and a lost
+    executor costs only its tasks. Where that is unset and the master is local (tests), one under /tmp is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(base or f"file:///tmp/checkpoints/{context.applicationId}")
+    return df.checkpoint()
