@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from .bm25 import BM25Index, StoredIndex  # noqa: F401
+from .knn import nearest
 from .relational import scoped
 
 MOST_TOP_K, MOST_QUERIES = 100, 100
-K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-MOST_TERMS = 100_000  # distinct terms of queries that are broadcast
+RRF_K = 60
 
 
 def top_k_of(k: int) -> int:
@@ -44,50 +45,12 @@ def in_blocks(queries: DataFrame, by: str, run) -> DataFrame:
     return out
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "doc_id", vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
-    """queries(query_id, query_vector) against all ``vectors`` (already scoped): query_id, id, score, rank. Queries
-    are counted and broadcast in blocks of about 100; each task keeps its own best k of each."""
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "doc_id", vector_col: str = "embedding", dim: int | None = None, **sizes: int) -> DataFrame:
+    """queries(query_id, query_vector) against all ``vectors`` (already scoped): query_id, id, score, rank. The vectors
+    are read once for any number of queries; see ``knn.nearest``, also for ``sizes``."""
     if dim:
         vectors = vectors.filter(V.valid(F.col(vector_col), dim))
-    score = {"l2": V.l2_score, "ip": V.dot, "cosine": V.cosine}[metric](F.col(vector_col), F.col("query_vector"))
-
-    def run(few: DataFrame) -> DataFrame:
-        pairs = vectors.join(F.broadcast(few), F.lit(True)).select("query_id", id_col, score.alias("score"))
-        return ranked(pairs, top_k_of(k), tie=id_col)
-
-    return in_blocks(queries, "query_id", run)
-
-
-class BM25Index:
-    """tokens (doc_id, tokens, dl), term_stats (term, df, idf) and corpus statistics of a corpus. Idf is
-    ln(N - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean idf."""
-
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        tokens = docs.select(F.col(id_col).alias("doc_id"), X.bm25_tokens(F.col(text_col)).alias("tokens"))
-        self.tokens = tokens.withColumn("dl", F.size("tokens"))
-        self.corpus = self.tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-        df = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.crossJoin(F.broadcast(self.corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-        self.term_stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """queries(query_id, query): documents that share a term with the query; repeated terms count as often.
-        Only the queries' terms leave the documents: the others are dropped where the text is read, if the
-        queries' distinct terms are few, and else by the join."""
-        terms = queries.select("query_id", F.explode(X.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        weighed = self.term_stats.join(terms, "term")
-        wanted = terms.select("term").distinct()
-        few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-        own = self.tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-        postings = own.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-        weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-
-    def search(self, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-        """``digits``: round scores before ranking, so that sums taken in another order rank alike."""
-        scores = self.scores(queries)
-        return ranked(scores.withColumn("score", F.round("score", digits)) if digits is not None else scores, top_k_of(k))
+    return ranked(nearest(vectors, queries, top_k_of(k), metric, id_col, vector_col, **sizes), top_k_of(k), tie=id_col)
 
 
 def fused(lists: list[DataFrame], weights: list[float] | None = None, k: int = MOST_TOP_K, rrf_k: int = RRF_K, digits: int = 12) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..operators import evaluation as E
 from ..operators import guard, memory, metrics, models
 from ..operators import relational as R
 from ..operators import retrieval as T
+from ..session import shared_dir
 from ..sources import files, sinks
 from ..streaming import rate_limit, windows
 from . import flows
@@ -302,8 +304,8 @@ def _tokens(col: str) -> str:
 
 @query(f"SELECT doc_id, len({_tokens('text')}) AS tokens, array_to_string(list_sort(list_distinct({_tokens('text')}))[1:20], ' ') AS first FROM documents")
 def f3_bm25_tokens(t):
-    tokens = X.bm25_tokens(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).alias("tokens"), F.array_join(F.slice(F.array_sort(F.array_distinct(tokens)), 1, 20), " ").alias("first"))
+    cut = t.documents.select("doc_id", X.bm25_tokens(F.col("text")).alias("cut"))  # once for both columns
+    return cut.select("doc_id", F.size("cut").alias("tokens"), F.array_join(F.slice(F.array_sort(F.array_distinct("cut")), 1, 20), " ").alias("first"))
 
 
 def _content_words(col: str, stop: list[str]) -> str:
@@ -518,9 +520,9 @@ def a15_guard_counters(t):
 # --- retrieval --------------------------------------------------------------------------------------------
 
 
-def _knn_sql(metric: str, k: int, where: str = "true") -> str:
+def _knn_sql(metric: str, k: int, where: str = "true", asks: str = "vec_id % 50 = 0") -> str:
     score = {"l2": "1 / (1 + list_sum(list_transform(list_zip(v.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))", "ip": "list_inner_product(v.e, q.e)", "cosine": "list_inner_product(v.e, q.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e)))"}[metric]
-    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE {where}), q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 50 = 0),
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE {where}), q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE {asks}),
     s AS (SELECT query_id, vec_id, {score} AS score FROM v, q) SELECT query_id, vec_id, round(score, 9) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= {k}"""
 
 
@@ -543,6 +545,14 @@ def v1_knn_inner_product(t):
     return _knn(t, "ip", 10)
 
 
+@query(_knn_sql("l2", 3, asks="true"))
+def v1_knn_all(t):
+    """Every vector asks; groups of queries meet blocks of vectors."""
+    asked = t.embeddings.selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    hits = T.knn(t.embeddings, asked, 3, id_col="vec_id", dim=64, few_queries=0, group_queries=512, block_rows=1024)
+    return hits.select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
+
+
 @query(_knn_sql("cosine", 5, "label = 3"))
 def v2_knn_cosine_scoped(t):
     return _knn(t, "cosine", 5, "label = 3")
@@ -585,6 +595,15 @@ def v6_bm25(t):
     return _bm25(t)
 
 
+@query(f"WITH {_bm25_sql()} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM b")
+def v6_stored_index(t):
+    """From an index on disk, made of three appends."""
+    path = f"{shared_dir(t.spark)}/bm25-{uuid.uuid4().hex}"
+    for k in range(3):
+        index = T.StoredIndex.append(t.documents.filter(F.pmod(F.col("doc_id"), F.lit(3)) == k), path)
+    return index.search(_questions(t), 20, digits=6)
+
+
 @query(f"WITH {_bm25_sql()} SELECT term, count(*) AS df, (SELECT n FROM c) AS n FROM p GROUP BY term HAVING count(*) >= 20")
 def a13_corpus_stats(t):
     index = T.BM25Index(t.documents)

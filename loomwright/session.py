@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,13 +17,27 @@ def get_session(app: str = "loomwright", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=defaults | settings).getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder in spark.checkpoint.dir, so that later steps start from files and a lost
-    executor costs only its tasks. Where that is unset and the master is local (tests), one under /tmp is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset and the master is
+    local (tests), a folder under /tmp/checkpoints; on a cluster it must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(base or f"file:///tmp/checkpoints/{context.applicationId}")
-    return df.checkpoint()
+        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
+def settled(df: DataFrame, tag: str = "step") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: later steps start from files, so a lost executor
+    costs only its tasks, and know the files' sizes when they choose a join."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Remove what ``settled`` has written. DataFrames that read it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/settled")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
