@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
 from .relational import newest_per_key
 
 
+SHARES = (50, 90, 95, 99)
+
+
 def metric_stats(metrics: DataFrame, last: int | None = None) -> DataFrame:
     """metrics(name, seq, value): count, mean, population deviation, extremes and exact interpolated percentiles
-    of each name, over its last rows if ``last`` is given."""
-    rows = newest_per_key(metrics, ["name"], [F.col("seq").desc()], last) if last else metrics
-    return rows.groupBy("name").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"),
-        *[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)],
-    )
+    of each name, over its last rows if ``last`` is given (these few are sorted in place)."""
+    plain = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most")]
+    if last:
+        rows = newest_per_key(metrics, ["name"], [F.col("seq").desc()], last)
+        return rows.groupBy("name").agg(*plain, *[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in SHARES])
+    named = metrics.withColumn("_null", F.col("name").isNull()).withColumn("_name", F.coalesce("name", F.lit("")))  # a null name is a group
+    exact = percentiles(named, ["_name", "_null"], "value", [p / 100 for p in SHARES]).drop("n")
+    stats = named.groupBy("_name", "_null").agg(F.first("name").alias("name"), *plain)
+    return stats.join(exact, ["_name", "_null"], "left").select("name", "n", "mean", "std", "least", "most", *[F.col(f"p_{k}").alias(f"p{p}") for k, p in enumerate(SHARES)])
 
 
 def tool_latencies(calls: DataFrame, last: int = 100) -> DataFrame:
@@ -25,7 +32,8 @@ def tool_latencies(calls: DataFrame, last: int = 100) -> DataFrame:
 def health(requests: DataFrame) -> DataFrame:
     """requests(latency, cost, cache_hit, error)."""
     share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")) * 100, F.lit(0.0))
-    return requests.agg(F.count("*").alias("requests"), F.avg("latency").alias("avg_latency"), F.percentile("latency", F.lit(0.95)).alias("p95_latency"), F.avg("cost").alias("cost_per_query"), share("cache_hit").alias("cache_hit_pct"), share("error").alias("error_pct"))
+    p95 = percentiles(requests, [], "latency", [0.95]).agg(F.max("p_0").alias("p95_latency"))  # one row, null without latencies
+    return requests.agg(F.count("*").alias("requests"), F.avg("latency").alias("avg_latency"), F.avg("cost").alias("cost_per_query"), share("cache_hit").alias("cache_hit_pct"), share("error").alias("error_pct")).crossJoin(F.broadcast(p95))
 
 
 def dashboard(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
