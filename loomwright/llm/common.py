@@ -129,3 +129,73 @@ def trim() -> None:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def open_uri(uri: str):
+    """The file system and path of a URI as Spark writes it: pyarrow's own ones (file, hdfs, s3, gs, abfss), with
+    Hadoop's names for these; a DBFS path by its mount."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        uri = f"/dbfs/{rest.lstrip('/')}"
+    elif scheme == "file":
+        uri = f"/{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(uri)
+
+
+class SideFiles:
+    """A small table cut into files by ranges of ``per`` keys, for tasks that need some keys' rows beside large rows
+    that shouldn't move: each task opens the files of its own keys. A file holds the rows of ``per`` keys and
+    is written whole or not at all, by whichever attempt of a task comes last; all write the same."""
+
+    KEPT = 64  # files that a reader keeps
+
+    def __init__(self, table: DataFrame, key: str, per: int, tag: str):
+        self.root, self.per = fresh_path(table.sparkSession, tag), per
+        self._held: dict[int, list] = {}
+        filed = table.withColumn("_file", F.expr(f"cast({key} div {per} as long)"))
+        filed.repartition("_file").sortWithinPartitions("_file", *table.columns).mapInArrow(self._write, "file long").count()
+
+    def _write(self, batches):
+        def close(file, parts):
+            filesystem, path = open_uri(self._name(file))
+            filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+            beside = f"{path}.{uuid.uuid4().hex}"
+            table = pa.Table.from_batches(parts).drop_columns(["_file"])
+            with filesystem.open_output_stream(beside) as out, pa.ipc.new_file(out, table.schema) as writer:
+                writer.write_table(table)
+            filesystem.move(beside, path)
+
+        file, parts = None, []
+        for b in batches:
+            files, begin = b.column("_file").to_pylist(), 0
+            while begin < len(files):
+                end = begin
+                while end < len(files) and files[end] == files[begin]:
+                    end += 1
+                if parts and files[begin] != file:
+                    close(file, parts)
+                    parts = []
+                file = files[begin]
+                parts.append(b.slice(begin, end - begin))
+                begin = end
+        if parts:
+            close(file, parts)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["file"])
+
+    def _name(self, file: int) -> str:
+        return f"{self.root}/{file:09d}.arrow"
+
+    def columns(self, key: int) -> list:
+        """The columns of the file that holds ``key``, as lists; the same object while it is kept."""
+        file = key // self.per
+        if file not in self._held:
+            if len(self._held) >= self.KEPT:
+                self._held.clear()
+            filesystem, path = open_uri(self._name(file))
+            with filesystem.open_input_file(path) as f:
+                self._held[file] = [c.to_pylist() for c in pa.ipc.open_file(f).read_all().columns]
+        return self._held[file]

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import begin, memory, stored, text_or_empty
+from .common import SideFiles, begin, memory, stored, text_or_empty
 from .tokenizer_files import TokenizerFile
 
 SEQUENCE, WINDOW_SEQUENCES, MOST_LOCAL = 2048, 64, 1024
-MOST_BROADCAST = 500_000  # rows of a task, a queue and two numbers
+TASKS_A_FILE, WINDOWS_A_FILE = 64, 16
 
 
 class WordEncoder:
@@ -357,14 +357,29 @@ class Schedule:
             w += 1
 
 
-def _cut(schedule: Schedule, queues: dict[str, int], sequence: int, with_ids: bool):
+class _Table:
+    """Rows of side files by their first two columns, a key and a queue."""
+
+    def __init__(self, files: SideFiles):
+        self.files, self.held = files, (None, {})
+
+    def __call__(self, key: int, queue: str) -> tuple:
+        columns = self.files.columns(key)
+        if self.held[0] is not columns:
+            self.held = columns, {x[:2]: x[2:] for x in zip(*columns, strict=True)}
+        return self.held[1][key, queue]
+
+
+def _cut(schedule: Schedule, begins: SideFiles, queues: dict[str, int], sequence: int, with_ids: bool):
     def run(batches):
         import numpy as np
 
+        of = _Table(begins)
         for b in batches:
             rows, which = [], []
-            cols = [b.column(k).to_pylist() for k in ("queue", "at", "n", "width", "ids")]
-            for r, (queue, at, n, width, ids) in enumerate(zip(*cols, strict=True)):
+            cols = [b.column(k).to_pylist() for k in ("part", "queue", "start", "n", "width", "ids")]
+            for r, (part, queue, at, n, width, ids) in enumerate(zip(*cols, strict=True)):
+                at += of(part, queue)[0]
                 ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
                 for start, length, place in schedule.pieces(queues[queue], at, n, sequence):
                     own = ids[start : start + length]
@@ -376,15 +391,16 @@ def _cut(schedule: Schedule, queues: dict[str, int], sequence: int, with_ids: bo
     return run
 
 
-def _by_window(window: int, whole: int):
+def _by_window(begins: SideFiles, window: int, whole: int):
     """The pieces that each window takes of a document, when all queues end together."""
 
     def run(batches):
-        import numpy as np
-
+        find = _Table(begins)
         for b in batches:
             rows, which = [], []
-            for r, (total, at, n, width, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("total", "at", "n", "width", "ids")), strict=True)):
+            for r, (part, queue, at, n, width, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "queue", "start", "n", "width", "ids")), strict=True)):
+                first, total = find(part, queue)
+                at += first
                 position, end = at, at + n
                 w = -(-(at + 1) * whole // (window * total)) - 1
                 while position < end:
@@ -403,15 +419,17 @@ def _by_window(window: int, whole: int):
     return run
 
 
-def _lay(sequence: int, with_ids: bool):
+def _lay(starts: SideFiles, sequence: int, with_ids: bool):
     """Windows' pieces, cut at the ends of sequences."""
 
     def run(batches):
         import numpy as np
 
+        find = _Table(starts)
         for b in batches:
             rows, which = [], []
-            for r, (start, length, n, place, width, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("start", "length", "n", "place", "width", "ids")), strict=True)):
+            for r, (w, queue, start, length, n, within, width, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("w", "queue", "start", "length", "n", "within", "width", "ids")), strict=True)):
+                place = find(w, queue)[0] + within
                 ids, at = np.frombuffer(ids, f"<u{width}").astype("<u4"), 0
                 while at < length:
                     size = min(length - at, sequence - (place + at) % sequence)
@@ -468,12 +486,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
 
     # where each task's part of a queue begins: a running sum over tasks, for each queue
     by_part = stored(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "packing-parts")
-    few = by_part.count() <= MOST_BROADCAST
     over = W.Window.partitionBy("queue").orderBy("part")
     total = F.sum("n").over(W.Window.partitionBy("queue"))
     begins = by_part.select("part", "queue", F.coalesce(F.sum("n").over(over.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"), total.alias("total"))
-    placed = tokens.join(F.broadcast(begins) if few else begins, ["part", "queue"])
-    placed = placed.select("id", "queue", "total", (F.col("begin") + F.col("start")).alias("at"), "n", "width", "ids")
+    begins = SideFiles(begins, "part", TASKS_A_FILE, "packing-begins")  # tokens stay where they are, and their tasks look this up
     piece = T.StructType([id_field, *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     totals = by_part.groupBy("queue").agg(F.sum("n").alias("n"))
@@ -486,13 +502,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
             given = {"n" if k is None else f"s{k}": x for k, x in shares.items()}
             weights = [max(1, round(1e9 * given.get(q, least))) for q, _ in found]
         schedule = Schedule([n for _, n in found], window, weights)
-        result = placed.mapInArrow(_cut(schedule, {q: k for k, (q, _) in enumerate(found)}, sequence, with_ids), piece)
+        result = tokens.mapInArrow(_cut(schedule, begins, {q: k for k, (q, _) in enumerate(found)}, sequence, with_ids), piece)
     else:
         whole = totals.agg(F.sum("n")).first()[0]
         taken = T.StructType([id_field, base.schema["queue"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "n", "w", "within")), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-        parts = stored(placed.mapInArrow(_by_window(window, whole), taken), "packing-windows")
+        parts = stored(tokens.mapInArrow(_by_window(begins, window, whole), taken), "packing-windows")
         starts = _window_starts(parts.groupBy("w", "queue").agg(F.sum("length").alias("n")))
-        result = parts.join(starts, ["w", "queue"]).withColumn("place", F.col("begin") + F.col("within")).mapInArrow(_lay(sequence, with_ids), piece)
+        result = parts.mapInArrow(_lay(SideFiles(starts, "w", WINDOWS_A_FILE, "packing-starts"), sequence, with_ids), piece)
     result = result.withColumnRenamed("id", id_col)
     return result if with_ids else result.drop("ids")
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, join_hot_apart, stored, text_or_empty
+from .common import open_uri as _open
 
 MAGIC = 0x184D2A5D
 SAMPLE_BYTES, SAMPLE_RECORDS, DICTIONARY_BYTES, RANGE_BYTES = 8_000_000, 4000, 112_640, 2_000_000
@@ -83,21 +84,6 @@ def _dict(data: bytes):
     return zstandard.ZstdCompressionDict(data)
 
 
-def _open(uri: str):
-    """The file system and path of a URI as Spark writes it: pyarrow's own ones (file, hdfs, s3, gs, abfss), with
-    Hadoop's names for these; a DBFS path by its mount."""
-    from pyarrow import fs
-
-    scheme, _, rest = uri.partition(":")
-    if scheme in ("s3a", "s3n"):
-        uri = f"s3:{rest}"
-    elif scheme == "dbfs":
-        uri = f"/dbfs/{rest.lstrip('/')}"
-    elif scheme == "file":
-        uri = f"/{rest.lstrip('/')}"
-    return fs.FileSystem.from_uri(uri)
-
-
 def _write(root: str, level: int, date: str):
     def run(batches):
         import zstandard
@@ -154,7 +140,8 @@ def _write(root: str, level: int, date: str):
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, html, refers_to, revisit. Only digests are grouped; those that occur more than once are
-    broadcast, so no html moves, if there are at most ``most_broadcast``, and else joined, hot ones apart."""
+    broadcast, so no html moves, if there are at most ``most_broadcast``. If there are more, the pages are joined
+    with them and the html is shuffled once, hot digests apart."""
     base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), text_or_empty(html_col).alias("html")).withColumn("digest", F.unhex(F.sha2("html", 256)))
     shared = stored(base.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1").select("digest", "best", F.lit(True).alias("more")), "warc-shared")
     revisit = F.coalesce(F.col("more"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("best"))
@@ -163,7 +150,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write a record for each row of ``pages`` to archives under ``root`` (a URI that Spark and pyarrow both open; see ``_open``) and
+    """Write a record for each row of ``pages`` to archives under ``root`` (a URI that Spark and pyarrow both open; see ``common.open_uri``) and
     return the manifest: archive, start, length, records of ranges of whole frames.
 
     Payloads are the html in UTF-8, null as empty. Of records with equal payloads that with the largest

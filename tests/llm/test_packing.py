@@ -149,3 +149,22 @@ def test_contractions_and_long_words_as_library():
     texts = ["".join(r.choices(few if k % 2 else all_, k=r.randrange(0, 60))) for k in range(3000)]
     texts += ["x" * 40 + " " + "ab" * r.randrange(1, 60) + " 中" + "文" * r.randrange(1, 30) for _ in range(50)] + ["no-space" * 200, " " * 700, ""]
     assert [x for k in range(0, len(texts), 64) for x in e.many(texts[k : k + 64])] == e.whole(texts)
+
+
+@pytest.mark.parametrize("most_local", [1000, 3])
+def test_ids_are_never_shuffled(spark, most_local):
+    """Whatever the number of tasks and sources: what a task must know lies in files by task (and by window)."""
+    docs = spark.createDataFrame([(k, f"word {k} " * (k % 9), f"s{k % 8}") for k in range(150)], "doc_id long, text string, source string").repartition(5)
+    plan = pack(docs, WORDS, sequence=64, window_sequences=3, most_local=most_local)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
+def test_side_files(spark):
+    from loomwright.llm.common import SideFiles
+
+    rows = [(k // 3, f"q{k % 3}", k) for k in range(300)]
+    files = SideFiles(spark.createDataFrame(rows, "part int, queue string, n long").repartition(7), "part", 8, "side")
+    files.KEPT = 2
+    for key in (0, 7, 8, 99, 0, 50):
+        at = files.columns(key)
+        assert sorted(x for x in zip(*at, strict=True) if x[0] == key) == [r for r in rows if r[0] == key]
