@@ -25,14 +25,14 @@ def ingested(documents: DataFrame, store: DataFrame | None, organization: str, n
     return embedded(rows, encode, "content", dim=dim) if encode else rows
 
 
-def retrieved(chunks: DataFrame, queries: DataFrame, organization: str, namespace: str, k: int = 5, alpha: float = 0.7) -> DataFrame:
+def retrieved(chunks: DataFrame, queries: DataFrame, organization: str, namespace: str, k: int = 5, alpha: float = 0.7, index: T.BM25Index | None = None) -> DataFrame:
     """Hybrid retrieval and reranking within a scope. chunks(chunk_id, content, source, page, embedding),
     queries(query_id, query, query_vector): query_id, doc_id, score, rank. Each list gives three candidates a
     result (100 at most). The scope comes first, so it can't leave a query short of hits, and BM25's statistics
-    are those of the scope; the reranker checks it again."""
+    are those of the scope; the reranker checks it again. ``index``: the scope's own, as ``sinks.scope_index`` keeps it."""
     own = scoped(chunks, organization, namespace).select(F.col("chunk_id").alias("doc_id"), "content", "source", "page", "embedding", "organization_id", "namespace")
     pool = T.pool_of(k)
-    bm25 = T.BM25Index(own, text_col="content").search(queries, pool)
+    bm25 = (index or T.BM25Index(own, text_col="content")).search(queries, pool)
     vector = T.knn(own, queries.select("query_id", "query_vector"), pool)
     hits = T.hybrid(bm25, vector, alpha, pool)
     texts = own.select("doc_id", "content", "source", "page", "organization_id", "namespace")

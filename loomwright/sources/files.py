@@ -108,8 +108,13 @@ def parsed(files: DataFrame, pdf=None, ocr=None) -> DataFrame:
     return rows.select("path", F.concat(F.lit("doc_"), F.substring(F.sha2("content", 256), 1, 32)).alias("document_id"), F.length("content").alias("size"), F.col("_r.text"), F.col("_r.error"))
 
 
-def read_files(spark: SparkSession, path: str, pdf=None, ocr=None) -> DataFrame:
-    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), pdf, ocr)
+def read_files(spark: SparkSession, path: str, pdf=None, ocr=None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """All files under ``path``, parsed. Files that are too large or of no known type are named in ``error`` and not
+    read; empty ones are no rows of Spark's reader."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    problem = F.when(F.col("length") > most_bytes, "too large").when(backend(F.col("path")).isNull(), F.concat(F.lit("unsupported type: "), F.lower(F.element_at(F.split("path", r"\."), -1))))
+    refused = files.select("path", F.lit(None).cast("string").alias("document_id"), F.col("length").cast("int").alias("size"), F.lit(None).cast("string").alias("text"), problem.alias("error")).filter("error is not null")
+    return parsed(files.filter(problem.isNull()), pdf, ocr).unionByName(refused)
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -126,15 +131,11 @@ def read_memory(spark: SparkSession, path: str, user: str, organization: str, mo
 
 
 def load_store(spark: SparkSession, path: str, organization: str, namespace: str, dim: int) -> DataFrame:
-    """The scope of a saved store's current version, after checks: the whole store agrees with its manifest (rows,
-    ids, vectors' length, hashes), and its vectors have the right length."""
-    from .sinks import current_version, manifest_of, read_version
-
-    store, want = read_version(spark, current_version(spark, path))
-    found = manifest_of(store)
-    if want != found or found["ids"] != found["rows"] or found["dim"] not in (None, dim):
-        raise ValueError(f"the store is damaged: manifest {want}, found {found}, vectors of {dim} wanted")
-    return store.filter((F.col("organization_id") == organization) & (F.col("namespace") == namespace))
+    """The scope of a saved store's current version, after checks of that scope alone: its files are as they were
+    written (rows, ids, contents, vectors), none is missing or added, and its vectors have the right length."""
+    from .sinks import current_version, read_scope
+
+    return read_scope(spark, current_version(spark, path), organization, namespace, dim)
 
 
 def accepted_files(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -122,12 +122,15 @@ def limited(requests: DataFrame, limit: int = LIMIT, seconds: int = SECONDS, key
     return free.unionByName(tied.mapInPandas(run, schema))
 
 
-def limited_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SECONDS, key: str | tuple[str, ...] = "user_id", part: str | None = None, delay: str = "10 seconds") -> DataFrame:
-    """The same over a stream, by event time: requests up to ``delay`` late are taken in their order, later ones are
-    dropped (Spark counts them). A request waits in the state until the watermark passes it; its decision comes then,
-    so it doesn't depend on how the stream is cut into batches. State goes by identity or, for
-    several identities, by ``part``, which is needed then; logs go when the watermark has left their window behind.
-    Requests without a time are dropped.
+def limited_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SECONDS, key: str | tuple[str, ...] = "user_id", part: str | None = None, delay: str | None = None) -> DataFrame:
+    """The same over a stream, by event time.
+
+    With a ``delay`` requests up to that late are taken in their order, later ones are dropped (Spark counts
+    them). A request waits in the state until the watermark passes it; its decision comes then, so it doesn't
+    depend on how the stream is cut into batches. Without one, requests are decided as they arrive, in order within a
+    batch; one that comes late counts at the latest time its identity was seen, and is dropped beyond an hour (or the
+    window, if that is longer). State goes by identity or, for several, by ``part``, which is needed then; logs
+    go when the watermark has left their window behind, however long that takes. Requests without a time are dropped.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -155,11 +158,12 @@ def limited_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SECON
                 waiting = pd.concat([waiting, own]) if len(waiting) else own
         passed = state.getCurrentWatermarkMs() * 1000
         waiting = waiting.sort_values(["_at", rules.event_id])
-        ready, waiting = waiting[waiting["_at"] <= passed], waiting[waiting["_at"] > passed]
+        done = waiting["_at"] <= passed if delay else waiting["_at"].notna()
+        ready, waiting = waiting[done], waiting[~done]
         ok = []
         for row in ready.itertuples(index=False):
             own = [(n, str(getattr(row, k))) for n, k in enumerate(rules.keys) if getattr(row, k) is not None]
-            ok.append(logs.accept(own, row[-1]))
+            ok.append(logs.accept(own, max([row[-1], *(logs.kept[i][-1] for i in own if logs.kept.get(i))])))
         logs.forget(passed)
         flat = [(kind, k, t) for (kind, k), log in logs.kept.items() for t in log]
         if len(waiting) or flat:
@@ -173,5 +177,5 @@ def limited_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SECON
             yield ready[columns].assign(accepted=ok)
 
     event = F.col(rules.ts).cast("timestamp")
-    timed = requests.filter(event.isNotNull()).withColumn("_event", event).withWatermark("_event", delay).withColumn("_at", F.unix_micros("_event"))
+    timed = requests.filter(event.isNotNull()).withColumn("_event", event).withWatermark("_event", delay or f"{max(seconds, 3600)} seconds").withColumn("_at", F.unix_micros("_event"))
     return timed.groupBy(by).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

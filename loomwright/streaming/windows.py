@@ -1,11 +1,13 @@
-"""Event-time windows over metric streams, and incremental ingestion. The windows go beyond the operators this
-engine had to match; they work on batches and streams."""
+"""Event-time windows over metric streams; they go beyond the operators this engine had to match, and work on batches
+and streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ingestion import ingest
+
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, by: list[str] | None = None, late: str = "10 minutes", ts: str = "ts", value: str = "value") -> DataFrame:
     if events.isStreaming:
@@ -20,15 +22,4 @@ def sessions(events: DataFrame, gap: str, by: str = "user_id", late: str = "10 m
     return events.groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def ingest(incoming: DataFrame, store: str, checkpoint: str, key: str = "chunk_id"):
-    """Append a stream's new chunks to a Parquet store; those whose id is there already are skipped. Runs over
-    what is available and stops."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark, rows = batch.sparkSession, batch.dropDuplicates([key])
-        fs = spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/_SUCCESS")):
-            rows = rows.join(spark.read.schema(rows.schema).parquet(store).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(store)
-
-    return incoming.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+__all__ = ["ingest", "sessions", "windowed"]
