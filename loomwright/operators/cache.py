@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
@@ -24,17 +24,24 @@ def exact_hits(requests: DataFrame, cache: DataFrame, as_of: datetime.datetime,
     return with_hash(requests).join(live, "query_hash").select("request_id", "answer", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
 
 
-def semantic_hits(requests: DataFrame, cache: DataFrame, as_of: datetime.datetime, ttl: int, threshold: float = 0.9, pool: int = 200) -> DataFrame:
-    """Of the scope's ``pool`` newest live entries the most similar, if similar enough."""
+def semantic_hits(requests: DataFrame, cache: DataFrame, as_of: datetime.datetime, ttl: int, threshold: float = 0.9, pool: int = 200, most_requests: int = 50_000) -> DataFrame:
+    """Of the scope's ``pool`` newest live entries the most similar, if similar enough; ties go to the smaller hash.
+
+    A scope's entries are one row, which each of its requests meets; requests are counted by scope, and a scope with more
+    than ``most_requests`` is spread by a salt for which its row is repeated, so no task gets all requests of a hot one."""
     live = newest_per_key(fresh_rows(cache, as_of, ttl).filter("query_embedding is not null"), SCOPE, [F.col("created_at").desc(), F.col("query_hash")], pool)
-    live = live.select(*[F.col(c).alias(f"_{c}") for c in (*SCOPE, "query_hash", "query_embedding")], "answer")
-    same = F.lit(True)
-    for c in SCOPE:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    asked = requests.select("request_id", *SCOPE, "query_embedding")
-    pairs = asked.join(live, same).select("request_id", "answer", F.col("_query_hash").alias("query_hash"), V.cosine(F.col("query_embedding"), F.col("_query_embedding")).alias("similarity"))
-    best = Window.partitionBy("request_id").orderBy(F.col("similarity").desc(), "query_hash")
-    return pairs.filter(F.col("similarity") >= threshold).withColumn("_nth", F.row_number().over(best)).filter("_nth = 1").select("request_id", "answer", F.lit("semantic").alias("kind"), "similarity")
+    packs = live.groupBy(*SCOPE).agg(F.array_sort(F.collect_list(F.struct("query_hash", "query_embedding", "answer"))).alias("_pack"))  # at most ``pool`` entries
+    asked = requests.select("request_id", *SCOPE, "query_embedding").filter("query_embedding is not null")
+    salts = asked.groupBy(*SCOPE).agg(F.ceil(F.count("*") / most_requests).cast("int").alias("_salts"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in SCOPE])
+    dealt = packs.alias("p").join(salts.alias("s"), same("p", "s")).select("p.*", "_salts", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    few = salts.filter("_salts > 1")  # at most all requests / most_requests
+    placed = asked.alias("a").join(F.broadcast(few.alias("s")), same("a", "s"), "left").select("a.*", F.pmod(F.xxhash64("request_id"), F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt"))
+    met = placed.alias("a").join(dealt.alias("d"), same("a", "d") & (F.col("a._salt") == F.col("d._salt"))).select("request_id", "query_embedding", "_pack")
+    similar = F.transform("_pack", lambda e: F.struct(V.cosine(F.col("query_embedding"), e["query_embedding"]).alias("similarity"), e["answer"].alias("answer")))
+    none = F.struct(F.lit(float("-inf")).alias("similarity"), F.lit(None).cast(dict(cache.dtypes)["answer"]).alias("answer"))
+    best = met.select("request_id", F.aggregate(similar, none, lambda best, e: F.when(e["similarity"] > best["similarity"], e).otherwise(best)).alias("best"))
+    return best.filter(F.col("best.similarity") >= threshold).select("request_id", "best.answer", F.lit("semantic").alias("kind"), "best.similarity")
 
 
 def lookup(requests: DataFrame, cache: DataFrame, as_of: datetime.datetime, ttl: int = 1800, threshold: float = 0.9) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import settled
 from .relational import ROLE_LEVELS
 
 
@@ -46,14 +49,14 @@ class Registry:
     """Tools by name; ``call`` checks arguments and role, runs the tool and records the time it took."""
 
     tools: dict[str, Tool] = field(default_factory=dict)
-    calls: list[tuple[str, float, bool]] = field(default_factory=list)
+    calls: list[tuple[str, float, str]] = field(default_factory=list)  # name, seconds, and how it ended
 
     def register(self, name: str, run: Callable[..., DataFrame], schema: dict[str, type], role: str = "viewer") -> None:
         if name in self.tools:
             raise ValueError(f"there is a tool {name}")
         self.tools[name] = Tool(name, run, schema, role)
 
-    def call(self, name: str, role: str, **arguments) -> DataFrame:
+    def _checked(self, name: str, role: str, arguments: dict) -> Tool:
         tool = self.tools.get(name)
         if tool is None:
             raise KeyError(name)
@@ -62,19 +65,73 @@ class Registry:
         wrong = [k for k, v in arguments.items() if k not in tool.schema or not isinstance(v, tool.schema[k])] + [k for k in tool.schema if k not in arguments]
         if wrong:
             raise ValueError(f"wrong or missing arguments: {', '.join(sorted(wrong))}")
-        start = time.perf_counter()
+        return tool
+
+    def call(self, name: str, role: str, **arguments) -> DataFrame:
+        """The tool's DataFrame; what Spark does for it later isn't timed. See ``run``."""
+        tool, start, ended = self._checked(name, role, arguments), time.perf_counter(), "failed"
         try:
-            out = tool.run(**arguments)
-        except Exception:
-            self.calls.append((name, time.perf_counter() - start, False))
-            raise
-        self.calls.append((name, time.perf_counter() - start, True))
-        return out
+            out, ended = tool.run(**arguments), "ok"
+            return out
+        finally:
+            self.calls.append((name, time.perf_counter() - start, ended))
+
+    def run(self, spark: SparkSession, name: str, role: str, timeout: float | None = None, progress: Callable[[float, int, int], None] | None = None, **arguments) -> DataFrame:
+        """The tool's rows, worked out and stored, within ``timeout`` seconds: then its Spark jobs, which carry a tag of
+        their own, are cancelled and TimeoutError is raised (what a tool does in Python alone can't be stopped, but isn't
+        waited for). ``progress`` gets the seconds passed and the tasks done and known so far, at last all of them."""
+        tool, tag, out = self._checked(name, role, arguments), f"tool-{uuid.uuid4().hex}", {}
+        context, start = spark.sparkContext, time.perf_counter()
+
+        def work():
+            context.addJobTag(tag)
+            try:
+                out["rows"] = settled(tool.run(**arguments), "tool")
+            except BaseException as e:  # given to the caller below
+                out["error"] = e
+
+        thread = InheritableThread(target=work, daemon=True)
+        thread.start()
+        while thread.is_alive():
+            left = 0.1 if timeout is None else min(0.1, timeout - (time.perf_counter() - start))
+            if left <= 0:
+                break
+            thread.join(left)
+            if progress:
+                progress(time.perf_counter() - start, *self._tasks(context, tag))
+        late = thread.is_alive()
+        if late:
+            context.cancelJobsWithTag(tag)
+        took = time.perf_counter() - start
+        self.calls.append((name, took, "timeout" if late else "failed" if "error" in out else "ok"))
+        if late:
+            raise TimeoutError(f"{name} took longer than {timeout} seconds")
+        if "error" in out:
+            raise out["error"]
+        if progress:
+            _, known = self._tasks(context, tag)
+            progress(took, known, known)
+        return out["rows"]
+
+    @staticmethod
+    def _tasks(context, tag: str) -> tuple[int, int]:
+        """Tasks done and known of a tag's jobs, without stages that were skipped."""
+        tracker, done, known = context._jsc.sc().statusTracker(), 0, 0
+        for job in tracker.getJobIdsForTag(tag):
+            info = tracker.getJobInfo(job)
+            if info.isEmpty():
+                continue
+            running = info.get().status().toString() == "RUNNING"
+            for stage in info.get().stageIds():
+                of = tracker.getStageInfo(stage)
+                if of.isDefined() and (running or of.get().numCompletedTasks()):
+                    done, known = done + of.get().numCompletedTasks(), known + of.get().numTasks()
+        return done, known
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        """The calls as metric rows (name, seq, value in seconds), for ``metrics.tool_latencies``."""
-        rows = [(n, k, s) for k, (n, s, _) in enumerate(self.calls)]
-        return spark.createDataFrame(rows, "name string, seq long, value double")
+        """The calls as metric rows (name, seq, value in seconds, ended), for ``metrics.tool_latencies``."""
+        rows = [(n, k, s, ended) for k, (n, s, ended) in enumerate(self.calls)]
+        return spark.createDataFrame(rows, "name string, seq long, value double, ended string")
 
 
 def leave_days(start: Column, end: Column) -> Column:

@@ -92,9 +92,9 @@ def p9_job_search(t):
     return R.job_search(t.jobs, kind="Full-Time", least_experience=30, remote=True, keywords=["Brand#1", "PROMO"]).select("id", "title", "kind", "experience", "remote")
 
 
-@query("SELECT id, title, count(*) OVER () AS total FROM jobs WHERE lower(department) = 'brand#21' AND contains(lower(location), 'steel') ORDER BY id LIMIT 10", "jobs")
+@query("SELECT id, title, count(*) OVER () AS total FROM jobs WHERE lower(department) = 'brand#4' AND contains(lower(location), 'a') ORDER BY id LIMIT 10", "jobs")
 def p9_job_page(t):
-    return R.page(R.job_search(t.jobs, department="Brand#21", location="Steel"), 10, F.col("id")).select("id", "title", "total")
+    return R.page(R.job_search(t.jobs, department="Brand#4", location="A"), 10, F.col("id")).select("id", "title", "total")
 
 
 @query("SELECT id, organization_id, status FROM candidates WHERE id = 42", "candidates")

@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from loomwright.operators import metrics
 from loomwright.operators.models import Registry, embedded
@@ -30,3 +33,34 @@ def test_embedder_and_flows(spark):
     out = {r.query_id: r for r in flows.answered(asked, chunks, "o", "policy").collect()}
     assert out[1].answer.startswith("Employees get twenty days") and "[EMAIL REDACTED]" in out[1].answer and out[1].route == "HR Policy RAG"
     assert out[2].answer is None and out[2].reason == "prompt_injection"
+
+
+def test_slow_tools_end_in_time(spark):
+    def slow(rows):
+        def wait(batches):
+            for b in batches:
+                time.sleep(30)
+                yield b
+
+        return spark.range(rows).mapInArrow(wait, "id long")
+
+    tools = Registry()
+    tools.register("slow", slow, {"rows": int})
+    tools.register("quick", lambda rows: spark.range(rows).repartition(3).groupBy((F.col("id") % 5).alias("k")).count(), {"rows": int})
+    tools.register("broken", lambda rows: 1 / 0, {"rows": int})
+    start = time.perf_counter()
+    with pytest.raises(TimeoutError):
+        tools.run(spark, "slow", "viewer", timeout=1.5, rows=4)
+    assert time.perf_counter() - start < 10
+    deadline = time.perf_counter() + 20
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.perf_counter() < deadline:
+        time.sleep(0.2)
+    assert not list(spark.sparkContext.statusTracker().getActiveJobsIds()), "its jobs are cancelled"
+    seen = []
+    assert tools.run(spark, "quick", "viewer", timeout=120, progress=lambda *x: seen.append(x), rows=1000).count() == 5
+    assert seen[-1][1] == seen[-1][2] > 0 and all(done <= known for _, done, known in seen)
+    with pytest.raises(ZeroDivisionError):
+        tools.run(spark, "broken", "viewer", rows=1)
+    with pytest.raises(ValueError):
+        tools.run(spark, "quick", "viewer", rows="1")
+    assert [(r.name, r.ended) for r in tools.metrics(spark).orderBy("seq").collect()] == [("slow", "timeout"), ("quick", "ok"), ("broken", "failed")]
