@@ -322,7 +322,8 @@ _SKILLS_SQL = f"list_filter({lits(X.SKILLS)}, lambda s: contains(regexp_replace(
 
 @query(f"SELECT doc_id, array_to_string({_SKILLS_SQL}, ',') AS skills FROM documents WHERE len({_SKILLS_SQL}) > 0")
 def f8_skill_terms(t):
-    return t.documents.select("doc_id", F.array_join(X.skill_terms(F.col("text")), ",").alias("skills")).filter("skills <> ''")
+    found = F.array_join(X.skill_terms(F.col("text")), ",").alias("skills")
+    return t.documents.select("doc_id", F.inline(F.array(F.struct(found)))).filter("skills <> ''")  # a filter isn't pushed below inline, so texts are searched once
 
 
 def _any(terms, col: str = "lower(text)") -> str:
@@ -786,7 +787,11 @@ def w4_token_budget(t):
     return memory.within_budget(t.conversations.select("conv_id", "turn", "text"), 60)
 
 
-@query()
+@query(f"""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 500)),
+    e AS (SELECT conv_id, i, '- ' || upper(coalesce(role, 'unknown')) || ': ' || CASE WHEN length(x) > 500 THEN regexp_replace(x[1:500], '\\s+$', '') || '…' ELSE x END AS line FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS x FROM m WHERE n >= 5 AND i <= n - 2) WHERE x <> ''),
+    t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS lines FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e) WHERE before < 4000 GROUP BY conv_id),
+    s AS (SELECT conv_id, min(turn) AS turn, coalesce('{memory.SUMMARY_HEAD}' || any_value(lines), '{memory.NO_SUMMARY}') AS told FROM m LEFT JOIN t USING (conv_id) WHERE n >= 5 GROUP BY conv_id)
+    SELECT conv_id, turn, 'system' AS role, CASE WHEN length(told) > 4000 THEN regexp_replace(told[1:4000], '\\s+$', '') || '…' ELSE told END AS text FROM s UNION ALL SELECT conv_id, turn, role, text FROM m WHERE n < 5 OR i > n - 2""")
 def t4_compressed_history(t):
     return memory.compressed(t.conversations, threshold=5, recent=2)
 
@@ -867,17 +872,36 @@ def m6_backfill(t):
 # --- chunks, streams, sinks -------------------------------------------------------------------------------
 
 
-@query()
+def _chunks_sql(merge: bool) -> str:
+    """One window after another for each text (``w``), then the windows that hold something, trimmed (``o``)."""
+    least = 50 if merge else 0
+    paragraph = "" if merge else "WHEN p >= greatest(start, start + 150) AND p - start > 150 THEN p + 2"
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND text <> ''),
+    w AS (SELECT doc_id, text, n, 0::BIGINT AS start, 0::BIGINT AS stop, 0::BIGINT AS next FROM d
+      UNION ALL SELECT doc_id, text, n, start, stop, CASE WHEN stop = n THEN n ELSE greatest(stop - 30, start + 1) END FROM
+        (SELECT doc_id, text, n, start, CASE WHEN start + 300 >= n THEN n {paragraph} WHEN text[start + 300] IN ('.', '!', '?') OR s = 0 OR start + 150 + s - start <= {least} THEN start + 300 ELSE start + 150 + s END AS stop FROM
+          (SELECT *, CASE WHEN instr(reverse(win), chr(10) || chr(10)) > 0 THEN start + 150 + length(win) - instr(reverse(win), chr(10) || chr(10)) - 1 ELSE -1 END AS p, length(regexp_extract(win, '(?s)^(.*[.!?])\s', 1)) AS s FROM
+            (SELECT doc_id, text, n, next AS start, text[next + 151 : next + 300] AS win FROM w WHERE next < n)))),
+    b AS (SELECT doc_id, start, text[start + 1 : stop] AS part FROM w WHERE stop > start),
+    o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS k, start + length(part) - length(regexp_replace(part, '^\s+', '')) AS a, regexp_replace(part, '^\s+|\s+$', '', 'g') AS content FROM b WHERE regexp_matches(part, '\S'))"""
+
+
+_CHUNK_SQL = _chunks_sql(False)
+
+
+@query(_CHUNK_SQL + " SELECT doc_id, k::INTEGER AS chunk_index, content, a::INTEGER AS char_start, (a + length(content))::INTEGER AS char_end, length(content)::INTEGER AS char_length FROM o")
 def v22_chunks(t):
     return K.chunked(t.documents)
 
 
-@query()
+@query(_chunks_sql(True) + """, f AS (SELECT doc_id, min(k) AS k FROM o WHERE k > 0 AND length(content) < 50 GROUP BY doc_id),
+    j AS (SELECT o.doc_id, o.k, o.a, o.content || coalesce(' ' || x.content, '') AS content, coalesce(x.a + length(x.content), o.a + length(o.content)) AS z FROM o LEFT JOIN f USING (doc_id) LEFT JOIN o x ON x.doc_id = o.doc_id AND x.k = f.k AND o.k = f.k - 1 WHERE f.k IS NULL OR o.k < f.k)
+    SELECT doc_id, k::INTEGER AS chunk_index, content, a::INTEGER AS char_start, z::INTEGER AS char_end, length(content)::INTEGER AS char_length FROM j""")
 def v23_sentence_chunks(t):
     return K.chunked(t.documents, merge=True)
 
 
-@query()
+@query(_CHUNK_SQL + " SELECT count(*) AS chunks, coalesce(avg(length(content)), 0) AS avg_length FROM o")
 def a14_chunk_stats(t):
     return K.chunk_stats(K.chunked(t.documents))
 
