@@ -99,3 +99,14 @@ def test_on_the_test_tables(spark):
     clean = [r.keep for r in got if r.quality and not r.toxic]
     low = [not r.keep for r in got if not r.quality]
     assert sum(clean) / len(clean) > 0.97 and sum(low) / len(low) > 0.9
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxic_documents_go(spark):
+    """Held out: of documents that are toxic but of good quality most go, of clean ones next to none."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter("doc_id % 3 = 0")
+    got = quality.score(docs.join(held, "doc_id", "left_semi"), quality.fit(docs, labels.filter("doc_id % 3 > 0"))).join(held, "doc_id").collect()
+    toxic = [not r.keep for r in got if r.toxic and r.quality]
+    clean = [r.keep for r in got if r.quality and not r.toxic]
+    assert len(toxic) > 50 and sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) > 0.99
