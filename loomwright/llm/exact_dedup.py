@@ -72,9 +72,10 @@ class Directory:
         return out
 
 
-def _combine(lows: list[int], owners: list[int], out: pa.Schema):
+def _combine(lows: list[int], owners: list[int], hot, n_owners: int, out: pa.Schema):
     """Rows of one task with equal texts become one (kind 1: what the key's owner needs), with their ids beside
-    (kind 0), some thousand a row."""
+    (kind 0), some thousand a row. Those of ``hot`` keys (a broadcast, sorted) go to one of n_owners sub-owners first, by
+    key and task."""
 
     def run(batches):
         import numpy as np
@@ -92,8 +93,13 @@ def _combine(lows: list[int], owners: list[int], out: pa.Schema):
 
         def flush():
             found = [(k, t, e) for k, chain in chains.items() for t, e in chain]
-            at = np.searchsorted(low, np.array([k for k, *_ in found], np.int64).view(np.uint64), "right") - 1
-            heads = [(1, o, b, k, part, e["seq"], t, None, e["best"], e["pos"], e["n"] + len(e["ids"])) for (k, t, e), o, b in zip(found, owner[at].tolist(), at.tolist(), strict=True)]
+            keys = np.array([k for k, *_ in found], np.int64)
+            at = np.searchsorted(low, keys.view(np.uint64), "right") - 1
+            to, often = owner[at], hot.value
+            if len(often):
+                is_hot = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
+                to = np.where(is_hot, n_owners + ((keys.view(np.uint64) >> np.uint64(32)).astype(np.int64) + part) % n_owners, to)
+            heads = [(1, o, b, k, part, e["seq"], t, None, e["best"], e["pos"], e["n"] + len(e["ids"])) for (k, t, e), o, b in zip(found, to.tolist(), at.tolist(), strict=True)]
             yield from emit(heads + [members(e) for *_, e in found if e["ids"]])
 
         for b in batches:
@@ -124,6 +130,43 @@ def _combine(lows: list[int], owners: list[int], out: pa.Schema):
     return run
 
 
+def _meet(owners: list[int], out: pa.Schema):
+    """A sub-owner's walk over hot keys in order: of tasks with the same text the one with the best id stands for all
+    (kind 1, for the key's owner), and each of the others names that one (kind 0)."""
+
+    def run(batches):
+        rows, key, chain, bucket = [], None, [], 0
+
+        def close():
+            for text, best, (part, seq, pos), n, tasks in chain:
+                rows.append((1, owners[bucket], bucket, key, part, seq, text, best, pos, n, None, None))
+                rows.extend((0, None, None, None, p, q, None, None, None, None, part, seq) for p, q in tasks if (p, q) != (part, seq))
+
+        def emit():
+            for k in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[k : k + 512], strict=True), out, strict=True)], schema=out)
+            rows.clear()
+
+        for b in batches:
+            for bkt, k, part, seq, text, best, pos, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "key", "part", "seq", "text", "best", "pos", "n")), strict=True):
+                if k != key:
+                    close()
+                    yield from emit()
+                    key, chain, bucket = k, [], bkt
+                entry = next((e for e in chain if e[0] == text), None)
+                if entry is None:
+                    chain.append([text, best, (part, seq, pos), n, [(part, seq)]])
+                    continue
+                if best is not None and (entry[1] is None or best > entry[1]) or best == entry[1] and (part, seq) < entry[2][:2]:
+                    entry[1:3] = best, (part, seq, pos)
+                entry[3] += n
+                entry[4].append((part, seq))
+        close()
+        yield from emit()
+
+    return run
+
+
 def _own(out: pa.Schema):
     """An owner's walk over its keys in order: a row for each task's text (kind 0), an entry for each text (kind 1)."""
 
@@ -188,7 +231,7 @@ class ExactIndex:
         return docs.join(found, (F.xxhash64(text) == F.col("_k")) & (text == F.col("_t")), "left").drop("_k", "_t")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, owners: int | None = None, key=None) -> ExactIndex:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, owners: int | None = None, key=None, hot_bytes: int = OWNER_BYTES) -> ExactIndex:
     """Index every row and whole text of ``docs``.
 
     A null text counts as empty; texts are equal when their bytes are. Of equal texts the row with the
@@ -197,8 +240,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``capacity`` is that of a bucket in distinct keys (by default 4096, or more so that there are at
     most some 32,000 buckets) and ``owners`` the number of owner tasks (by default one for each 128 MB of text,
     or the shuffle partitions if these are more); ``key`` replaces the 64-bit hash, for tests. Copies within a task
-    become one row and their ids stay in the task's files, so an owner gets a hot text once a task, and none of
-    its ids.
+    become one row and their ids stay in the task's files. A key whose rows have over ``hot_bytes`` of text (there are no
+    more such keys than owners) goes through sub-owners, by key and task, so its owner gets each text once a
+    sub-owner and no sub-owner more than its share of the tasks; no owner gets ids.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", key(F.col("text")) if key else F.xxhash64("text"))
@@ -220,10 +264,25 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent, index = schema("kind owner bucket key part seq text ids best pos n"), schema("kind bucket key chain part seq best pos total sha text")
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    combined = stored(base.mapInArrow(_combine(directory.lows(), directory.owners(owners), to_arrow_schema(sent)), sent), "index-combined")
+    import numpy as np
+
+    often = np.sort(np.array([r[0] for r in keys.filter(F.col("size") > hot_bytes).select("key").collect()], np.int64))  # at most size / hot_bytes
+    of_bucket = directory.owners(owners)
+    combined = stored(base.mapInArrow(_combine(directory.lows(), of_bucket, spark.sparkContext.broadcast(often), owners, to_arrow_schema(sent)), sent), "index-combined")
     heads = combined.filter("kind = 1").select("owner", "bucket", "key", "part", "seq", "text", "best", "pos", "n")
+    links = None
+    if len(often):
+        apart = T.StructType([*schema("kind owner bucket key part seq text best pos n").fields, T.StructField("by_part", T.IntegerType()), T.StructField("by_seq", T.LongType())])
+        met = heads.filter(F.col("owner") >= owners).repartitionById(owners, F.col("owner") - owners).sortWithinPartitions("bucket", "key").mapInArrow(_meet(of_bucket, to_arrow_schema(apart)), apart)
+        met = stored(met, "index-met")
+        heads = heads.filter(F.col("owner") < owners).unionByName(met.filter("kind = 1").select(*heads.columns))
+        links = met.filter("kind = 0").select("part", "seq", "by_part", "by_seq")
     owned = heads.repartitionById(owners, F.col("owner")).sortWithinPartitions("bucket", "key").mapInArrow(_own(to_arrow_schema(index)), index)
-    return ExactIndex(directory, stored(owned, "exact-index"), combined.filter("kind = 0").select("part", "seq", "n", "ids"))
+    rows = stored(owned, "exact-index")
+    if links is not None:  # a task that another stands for has that one's place
+        place = rows.filter("kind = 0").select("bucket", "key", "chain", F.col("part").alias("by_part"), F.col("seq").alias("by_seq"))
+        rows = rows.unionByName(links.join(place, ["by_part", "by_seq"]).select(F.lit(0).alias("kind"), "bucket", "key", "chain", "part", "seq", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("best", "pos", "total", "sha", "text"))))
+    return ExactIndex(directory, rows, combined.filter("kind = 0").select("part", "seq", "n", "ids"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,3 +56,25 @@ def test_directory(bits, n, capacity, step):
         assert own == found <= capacity
         assert not depth or sum(k >> (65 - depth) == prefix >> 1 for k in keys) > capacity, "only overfull buckets are split"
     assert max(d.owners(5)) <= 4 and d.owners(5) == sorted(d.owners(5))
+
+
+@pytest.mark.parametrize("key,owners", [(None, 4), (lambda t: F.lit(7).cast("long"), 3), (lambda t: F.xxhash64(F.substring(t, 1, 1)), 1)])
+@pytest.mark.parametrize("hot", [0, 400])
+def test_a_text_in_every_task(spark, key, owners, hot):
+    """Hot keys meet at sub-owners first: one text in all of 9 tasks, several texts under one key, null ids, repeats."""
+    rows = [*ROWS, *[(2000 + k, "everywhere " * 9) for k in range(90)], *[(None, "nowhere " * 9)] * 40, *[(3000, "twice")] * 30]
+    random.Random(owners).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    index = build_index(docs, owners=owners, key=key, hot_bytes=hot)
+    got = index.groups().collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute(rows)
+    assert set(Counter(r.text_sha256 for r in got if r.kept).values()) == {1}
+    assert index.entries.count() == len({t or "" for _, t in rows})
+
+
+def test_owners_of_hot_texts_get_them_once_a_sub_owner(spark):
+    docs = spark.createDataFrame([(k, "hot text") for k in range(400)], "doc_id long, text string").repartition(40)
+    apart, plain = (build_index(docs, owners=4, hot_bytes=h).rows for h in (10, 1 << 30))
+    assert apart.filter("kind = 0").count() == plain.filter("kind = 0").count() == 40
+    sent = [r.asDict() for r in apart.filter("kind = 1").collect()]
+    assert len(sent) == 1 and (sent[0]["best"], sent[0]["total"]) == (399, 400)
