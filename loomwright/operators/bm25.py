@@ -20,6 +20,7 @@ from .knn import Best
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_TERMS = 100_000  # distinct terms of queries that are broadcast
 SEEDS, BLOCK, MOST_SEGMENTS, PUSHED = 20, 128, 8, 500
+MOST_LOOKED_UP = 200_000  # rows of a query, a document and a term that are broadcast
 MOST_ASKED, GROUP_TERMS = 200_000, 8192  # rows (query, term) that go to all tasks at once, and that make one matrix
 
 
@@ -210,17 +211,21 @@ class StoredIndex(BM25Index):
 
     @classmethod
     def append(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_segments: int = MOST_SEGMENTS) -> StoredIndex:
-        """The index at ``path`` (made if there is none) with ``docs`` besides; ids that it has already are skipped.
-        Each text is cut once. The new documents are a segment of their own; beyond ``most_segments`` all are merged."""
+        """The index at ``path`` (made if there is none) with ``docs`` besides; ids that it has already are skipped,
+        and ids that repeat within ``docs`` are an error. Each text is cut once. The new documents are a segment of their own; beyond ``most_segments`` all are merged."""
         from ..sources.sinks import _read_text
 
         spark = docs.sparkSession
         text = _read_text(spark, f"{path}/_CURRENT")
         state = json.loads(text) if text else {"segments": [], "n": 0, "total": 0}
-        new = docs.withColumnRenamed(id_col, "doc_id").select("doc_id", F.col(text_col).alias("text")).dropDuplicates(["doc_id"])
-        if state["segments"]:
-            new = new.join(spark.read.parquet(*[f"{path}/{s}/docs" for s in state["segments"]]).select("doc_id"), "doc_id", "left_anti")
+        new = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        if state["segments"]:  # ids alone are compared, and texts only move if some are known
+            known = spark.read.parquet(*[f"{path}/{s}/docs" for s in state["segments"]]).select("doc_id").join(new.select("doc_id"), "doc_id", "left_semi")
+            known = settled(known, "bm25-known")
+            new = new if known.isEmpty() else new.join(known, "doc_id", "left_anti")
         rows = settled(counted(new), "bm25-rows")
+        if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+            raise ValueError("ids must be distinct")
         segment = f"segment-{uuid.uuid4().hex}"
         cls._write(postings(rows), f"{path}/{segment}/postings")
         rows.select("doc_id", "dl").write.parquet(f"{path}/{segment}/docs")
@@ -291,9 +296,17 @@ class StoredIndex(BM25Index):
         return ranked(scores.withColumn("score", F.round("score", digits)) if digits is not None else scores, k)
 
     def _completed(self, sums: DataFrame, others: DataFrame) -> DataFrame:
-        """query_id, doc_id, score: the sums (query_id, doc_id, sum) and what the ``others`` (query_id, term, w) add."""
-        wanted = sums.join(others.select("query_id", "term", "w"), "query_id").select("query_id", "doc_id", "term", "w")
-        more = self._postings_of(others.select("term").distinct()).join(wanted, ["term", "doc_id"]).select("query_id", "doc_id", (F.col("w") * self._part("tf", "dl")).alias("sum"))
+        """query_id, doc_id, score: the sums (query_id, doc_id, sum) and what the ``others`` (query_id, term, w, df) add.
+        Each document is looked up in each list, if that is less than the lists hold, else the lists are added up: then
+        documents that aren't in ``sums`` come along, with less than their score."""
+        sizes = sums.groupBy("query_id").agg(F.count("*").alias("docs")).join(others.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id")
+        looked, (held,) = sizes.agg(F.coalesce(F.sum(F.col("docs") * F.col("terms")), F.lit(0))).first()[0], others.agg(F.coalesce(F.sum("df"), F.lit(0))).first()
+        if looked > held / 4:
+            more = self._added(others.select("query_id", "term", "w")).withColumnRenamed("part", "sum")
+        else:
+            wanted = sums.join(others, "query_id").select("query_id", "doc_id", "term", "w")
+            wanted = F.broadcast(wanted) if looked <= MOST_LOOKED_UP else wanted
+            more = self._postings_of(others.select("term").distinct()).join(wanted, ["term", "doc_id"]).select("query_id", "doc_id", (F.col("w") * self._part("tf", "dl")).alias("sum"))
         return sums.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("sum").alias("score"))
 
     @staticmethod
