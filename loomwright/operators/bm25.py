@@ -190,7 +190,8 @@ def _blocks(batches):
 
 
 class StoredIndex(BM25Index):
-    """An index at ``path``: segments of postings in blocks, ordered by term, a table of all terms, and a pointer
+    """An index at ``path``: segments of postings in blocks, ordered by term, and of documents with their terms, a
+    table of all terms, and a pointer
     file that names what is current, so readers see the state before an append or after it.
 
     A search reads the blocks of its queries' terms (by the files' statistics, if the terms are few), and of these only
@@ -208,6 +209,7 @@ class StoredIndex(BM25Index):
         self._sized(self.state["n"], self.state["total"])
         self.term_stats = spark.read.parquet(f"{path}/{self.state['terms']}")
         self.blocks = spark.read.parquet(*[f"{path}/{s}/postings" for s in self.state["segments"]])
+        self.rows = spark.read.parquet(*[f"{path}/{s}/docs" for s in self.state["segments"]])
 
     @classmethod
     def append(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_segments: int = MOST_SEGMENTS) -> StoredIndex:
@@ -228,7 +230,7 @@ class StoredIndex(BM25Index):
             raise ValueError("ids must be distinct")
         segment = f"segment-{uuid.uuid4().hex}"
         cls._write(postings(rows), f"{path}/{segment}/postings")
-        rows.select("doc_id", "dl").write.parquet(f"{path}/{segment}/docs")
+        rows.write.parquet(f"{path}/{segment}/docs")
         n, total = spark.read.parquet(f"{path}/{segment}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         state = {"segments": [*state["segments"], segment], "n": state["n"] + n, "total": state["total"] + total}
         if len(state["segments"]) > most_segments:
@@ -262,9 +264,11 @@ class StoredIndex(BM25Index):
         _write_text(spark, f"{path}/_CURRENT", json.dumps(state))
         return cls(spark, path)
 
-    def search(self, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, digits: int | None = None, by: str | None = None) -> DataFrame:
         """The best k documents of each query, exactly. ``digits``: round scores before ranking, so that sums taken
-        in another order rank alike.
+        in another order rank alike. ``by``: ``lists`` reads the lists of the queries' terms, ``rows`` all documents
+        once, as an index that isn't stored does; by default the latter if the queries' lists hold more than all
+        documents do. The results are the same.
 
         The terms that can add most, of as many documents as make some multiple of k, give each query k likely
         results; the worst of their whole scores is a bar that no result is below. Terms that together can't reach
@@ -274,6 +278,11 @@ class StoredIndex(BM25Index):
         """
         from .retrieval import ranked, top_k_of
 
+        if by is None:
+            lists, rows = (x.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] for x in (self._asked(queries), self.term_stats))
+            by = "rows" if lists > rows else "lists"
+        if by == "rows":
+            return super().search(queries, k, digits)
         k = top_k_of(k)
         query = Window.partitionBy("query_id")
         best_first = query.orderBy(F.col("most").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
