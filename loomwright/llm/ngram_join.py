@@ -4,9 +4,9 @@ N-grams have one global order: those that are common in some part of the corpus
 how common they are, then by hash. A pair of sets that is similar enough shares an n-gram among the
 first of each (the prefix that a threshold leaves), so sets meet by the n-grams of their prefixes, and
 sizes and positions (what can still be shared) drop most pairs. Sets that may be linked form groups, and
-each group's sets go into a trie in the global order, common n-grams first. A set walks the trie once for
-all sets that share a path, counts the overlap so far, and leaves a subtree when what remains can't reach
-the threshold any more, or when it is already joined to all of it.
+each group's sets go into a trie in the global order, common n-grams first. A place of the trie stands for an
+interval of the group's sets, so a set counts its overlap with all sets that share a path at once, by its
+n-grams' places alone; sets that are joined to all of a group already don't ask.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .graph import ONE_TASK_EDGES, Forest, components
 
 WORDS, NUM, DEN = 5, 75, 100  # n-gram length; links have DEN * intersection >= NUM * union
 LOCALLY_COMMON, MOST_COMMON, BLOCK_NGRAMS = 3, 1_000_000, 4_000_000
-LONG_LIST, TRIE_SETS, HUBS, POSTINGS_A_TASK = 256, 256, 8, 1_000_000
+LONG_LIST, TRIE_SETS, TRIE_NGRAMS, HUBS, POSTINGS_A_TASK = 256, 2048, 1_000_000, 8, 1_000_000
 MOST_BROADCAST = 1_000_000  # rows of one hash
 LARGE_SET, MORE_SHARED = 600, 12  # sets of so many n-grams must share a twelfth of them in longer prefixes
 POSTING = [("h", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")]
@@ -394,59 +394,54 @@ def _meet(num: int, den: int, parts: int, long_list: int):
 
 
 class Trie:
-    """A radix trie of ordered sets; ``join`` finds what a set is linked with."""
+    """A trie of ordered sets, laid out as intervals: with the sets in lexicographic order, those below a place of
+    the trie are neighbours, so each n-gram has a list of (first set, set after the last), one for each of its places."""
 
     def __init__(self, rows, num: int, den: int):
         """rows: (set in trie order) by index."""
-        self.rows, self.num, self.den = rows, num, den
-        order = sorted(range(len(rows)), key=lambda k: rows[k].astype(">u8").tobytes())
-        self.root = self._node(order, 0)
+        import numpy as np
 
-    def _node(self, order, depth):
+        self.num, self.den = num, den
+        self.order = np.array(sorted(range(len(rows)), key=lambda k: rows[k].astype(">u8").tobytes()), np.int64)
+        self.sizes = np.array([len(rows[k]) for k in self.order], np.int64)
+        path, last, n = np.empty(int(self.sizes.max(initial=0)), np.int64), np.empty(0, np.uint64), 0
+        grams, firsts, ends = [], [], np.full(int(self.sizes.sum()), len(rows), np.int64)
+        for j, k in enumerate(self.order.tolist()):
+            own = rows[k]
+            both = min(len(own), len(last))
+            differ = own[:both] != last[:both]
+            shared = int(differ.argmax()) if differ.any() else both
+            ends[path[shared : len(last)]] = j  # these places end before this set
+            path[shared : len(own)] = np.arange(n, n + len(own) - shared)
+            grams.append(own[shared:])
+            firsts.append(np.full(len(own) - shared, j))
+            n, last = n + len(own) - shared, own
+        grams, ends = np.concatenate([np.empty(0, np.uint64), *grams]), ends[:n]
+        by = np.argsort(grams, kind="stable")
+        self.firsts, self.ends = np.concatenate([np.empty(0, np.int64), *firsts])[by], ends[by]
+        self.grams, at = np.unique(grams[by], return_index=True)
+        self.at = np.append(at, n)
+
+    def linked(self, s_sorted):
+        """The sets (by index) that are linked with the set of sorted hashes: each place of the trie that holds one of
+        its n-grams counts once for all sets below."""
         import numpy as np
 
-        first, last = self.rows[order[0]], self.rows[order[-1]]  # in lexicographic order: what these share, all share
-        n = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:n] != last[depth:n])
-        end = depth + int(differ[0]) if len(differ) else n
-        kids, at = [], 0
-        while at < len(order) and len(self.rows[order[at]]) == end:
-            at += 1
-        here = order[:at]  # sets that end at this node
-        while at < len(order):
-            stop, head = at + 1, self.rows[order[at]][end]
-            while stop < len(order) and self.rows[order[stop]][end] == head:
-                stop += 1
-            kids.append(self._node(order[at:stop], end))
-            at = stop
-        sizes = [len(self.rows[k]) for k in order]
-        return first[depth:end], kids, here, order, min(sizes), max(sizes), end
+        if not len(s_sorted) or not len(self.grams):
+            return np.empty(0, np.int64)
+        g = np.minimum(np.searchsorted(self.grams, s_sorted), len(self.grams) - 1)
+        g = g[self.grams[g] == s_sorted]
+        n = self.at[g + 1] - self.at[g]
+        places = np.repeat(self.at[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        m = len(self.order)
+        overlap = np.cumsum(np.bincount(self.firsts[places], minlength=m + 1) - np.bincount(self.ends[places], minlength=m + 1))[:m]
+        return self.order[(overlap > 0) & ((self.num + self.den) * overlap >= self.num * (len(s_sorted) + self.sizes))]
 
     def walk(self, s_sorted, skip, found) -> None:
         """Call found(k) for each set k linked with the set of sorted hashes; skip(k): need not be found."""
-        import numpy as np
-
-        size, num, den = len(s_sorted), self.num, self.den
-        stack = [(self.root, 0)]
-        while stack:
-            (segment, kids, here, under, least, most, end), overlap = stack.pop()
-            if least * num > size * den or size * num > most * den or all(map(skip, under)):
-                continue
-            if len(segment):
-                at = np.searchsorted(s_sorted, segment)
-                overlap += int(np.count_nonzero(s_sorted[np.minimum(at, size - 1)] == segment))
-            if (num + den) * (overlap + min(size - overlap, most - end)) < num * (size + least):
-                continue
-            for k in here:
-                if (num + den) * overlap >= num * (size + end) and not skip(k):
-                    found(k)
-            stack += [(kid, overlap) for kid in kids]
-
-
-def _deep_enough(n: int) -> None:
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * n + 2000))
+        for k in self.linked(s_sorted).tolist():
+            if not skip(k):
+                found(k)
 
 
 def _solve(common, num: int, den: int, words: int):
@@ -454,6 +449,8 @@ def _solve(common, num: int, den: int, words: int):
     joined with all rows of the group; role 0 rows only with those of role 1. Equal labels are joined already."""
 
     def run(batches):
+        import numpy as np
+
         begin(_ORDERS)
         order, shingle = _order(common), Shingler(words)
 
@@ -463,11 +460,15 @@ def _solve(common, num: int, den: int, words: int):
                 forest.join(key, label)
             known = dict(forest.up)
             sets, keys = [s for _, s in shingle.batches([r[3] for r in rows])], [r[1] for r in rows]
-            _deep_enough(len(rows))
             trie = Trie([order.common_first(s) for s in sets], num, den)
-            for k, (role, key, _, _) in enumerate(rows):
-                if role:
-                    trie.walk(sets[k], lambda x: forest.root(keys[x]) == forest.root(key), lambda x: forest.join(key, keys[x]))  # noqa: B023
+            root = np.array([forest.root(k) for k in keys], np.int64)
+            for k, (role, *_) in enumerate(rows):
+                if role and (root != root[k]).any():
+                    met = np.unique(np.append(root[trie.linked(sets[k])], root[k]))
+                    if len(met) > 1:  # ascending: the first is the new root
+                        for x in met[1:].tolist():
+                            forest.join(int(met[0]), x)
+                        root[np.isin(root, met)] = met[0]
             return [(a, b) for a, b in forest.rows() if known.get(a) != b]
 
         out, rows, grp = [], {}, None
@@ -514,7 +515,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives the same links, and so do any ``long_list`` (postings of an n-gram that are held apart),
     ``locally_common`` (how often in a block of documents an n-gram is counted as common), ``most_broadcast``
     (rows of a hash that are broadcast) and ``one_task_edges`` (see ``components``). Groups beyond ``trie_sets``
-    sets are worked in blocks of that size: each with hubs of the group first, and then only the sets that are
+    sets (or TRIE_NGRAMS n-grams in all) are worked in blocks of that size: each with hubs of the group first, and then only the sets that are
     still apart with the rest.
     """
     spark = docs.sparkSession
@@ -540,24 +541,28 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "ngram-groups")
 
     # one text of each candidate
-    size = groups.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
-    needed = described.groupBy("key").agg(F.min("doc").alias("doc")).join(groups.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key").join(size, "comp")
+    needed = described.groupBy("key").agg(F.min("doc").alias("doc"), F.max("n").alias("n")).join(groups.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key")
     needed = stored(needed, "ngram-needed")
+    large = stored(needed.groupBy("comp").agg(_tries(trie_sets).alias("blocks")).filter("blocks > 1"), "ngram-large")
     few = F.broadcast(needed.select("doc")) if needed.count() <= most_broadcast else needed.select("doc")
     texts = raw.select("doc", "text").join(few, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
-    sets = stored(texts.join(needed, "doc").select("key", "comp", "size", "text"), "ngram-texts")
+    sets = stored(texts.join(needed, "doc").select("key", "comp", "n", "text"), "ngram-texts")
     solve = lambda x: x.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_solve(common, num, den, words), "a long, b long")
     shape = lambda x, grp, role: x.select(grp.alias("grp"), F.lit(role).alias("role"), "key", F.col("label"), "text")
     one = lambda x: x.withColumn("label", F.col("key"))
-    links = solve(shape(one(sets.filter(F.col("size") <= trie_sets)), F.struct("comp", F.lit(0).alias("x"), F.lit(0).alias("y")).cast("string"), 1))
+    links = solve(shape(one(sets.join(large, "comp", "left_anti")), F.struct("comp", F.lit(0).alias("x"), F.lit(0).alias("y")).cast("string"), 1))
     roots = links.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
-    large = stored(size.filter(F.col("size") > trie_sets).select("comp", F.ceil(F.col("size") / trie_sets).cast("int").alias("blocks")), "ngram-large")
     if not large.isEmpty():
-        roots = roots.unionByName(_large_groups(sets.filter(F.col("size") > trie_sets).drop("size"), large, shape, one, solve, trie_sets, one_task_edges))
+        roots = roots.unionByName(_large_groups(sets.join(large, "comp", "left_semi"), large, shape, one, solve, trie_sets, one_task_edges))
     return NgramJoin(stored(described, "ngram-described"), stored(roots, "ngram-roots"))
 
 
+def _tries(trie_sets: int):
+    """How many tries of a bounded size the sets (n: their n-grams) need."""
+    return F.greatest(F.ceil(F.count("*") / trie_sets), F.ceil(F.sum("n") / TRIE_NGRAMS)).cast("int")
+
+
 def _large_groups(sets, large, shape, one, solve, trie_sets, one_task_edges) -> DataFrame:
     """Links in groups that are too large for one trie: key, root."""
     block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
@@ -571,13 +576,13 @@ def _large_groups(sets, large, shape, one, solve, trie_sets, one_task_edges) ->
     found = components(links, one_task_edges=one_task_edges)
     labels = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-    marked = stored(members.select("key", "comp", "label", "block", "blocks"), "ngram-labels")
+    marked = stored(members.select("key", "comp", "n", "label", "block", "blocks"), "ngram-labels")
     most = marked.groupBy("comp", "label").count().groupBy("comp").agg(F.max(F.struct("count", "label")).alias("m")).select("comp", F.col("m.label").alias("main"))
-    apart = marked.join(most, "comp").filter("label != main").select("comp", "key", "label", "blocks")
-    left = apart.groupBy("comp").agg(F.ceil(F.count("*") / trie_sets).cast("int").alias("rblocks"))
-    apart = apart.join(left, "comp").withColumn("rblock", F.pmod(F.xxhash64("key", F.lit(3)), F.col("rblocks")).cast("int")).join(sets, ["comp", "key"])
+    apart = marked.join(most, "comp").filter("label != main").select("comp", "key", "n", "label", "blocks")
+    left = apart.groupBy("comp").agg(_tries(trie_sets).alias("rblocks"))
+    apart = apart.drop("n").join(left, "comp").withColumn("rblock", F.pmod(F.xxhash64("key", F.lit(3)), F.col("rblocks")).cast("int")).join(sets, ["comp", "key"])
     grp = F.struct("comp", F.col("rblock").alias("x"), F.col("block").alias("y")).cast("string")
-    again = shape(apart.withColumn("block", every), grp, 1).unionByName(shape(marked.join(left, "comp").join(sets, ["comp", "key"]).withColumn("rblock", F.explode(F.sequence(F.lit(0), F.col("rblocks") - 1))), grp, 0))
+    again = shape(apart.withColumn("block", every), grp, 1).unionByName(shape(marked.drop("n").join(left, "comp").join(sets, ["comp", "key"]).withColumn("rblock", F.explode(F.sequence(F.lit(0), F.col("rblocks") - 1))), grp, 0))
     more = stored(solve(again), "ngram-links")
     return components(links.unionByName(more), one_task_edges=one_task_edges).select(F.col("node").alias("key"), "root")
 
