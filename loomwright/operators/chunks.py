@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 SIZE, OVERLAP, LEAST, REACH = 300, 30, 50, 150
+TEXT_BYTES, CHUNKS = 1_000_000, 5000  # texts that are Python strings at once, and rows of a batch that is given back
 _PARAGRAPH, _SENTENCE, _BODY = re.compile(r"(?=\n\n)"), re.compile(r"[.!?](?=\s)"), re.compile(r"\S(?:.*\S)?", re.S)
 
 
@@ -56,13 +59,22 @@ def spans(text: str, size: int = SIZE, overlap: int = OVERLAP, merge: bool = Fal
     """(index, content, start, end) of each chunk; start and end without surrounding white space. ``merge``:
     sentence ends only, and a fragment under 50 characters joins the chunk before and ends the text. ``parity``
     goes on after the end of the text in steps of one character, as the older behaviour did."""
-    out: list[tuple[int, str, int, int]] = []
+    return list(iter_spans(text, size, overlap, merge, parity))
+
+
+def iter_spans(text: str, size: int = SIZE, overlap: int = OVERLAP, merge: bool = False, parity: bool = False):
+    """``spans``, one after another."""
+    last = None
     for body in filter(None, (_BODY.search(text, a, b) for a, b in windows(text, size, overlap, merge, parity))):
-        if merge and out and len(body[0]) < LEAST:
-            index, content, start, _ = out.pop()
-            return [*out, (index, f"{content} {body[0]}", start, body.end())]
-        out.append((len(out), body[0], body.start(), body.end()))
-    return out
+        if last and merge and len(body[0]) < LEAST:
+            index, content, start, _ = last
+            yield index, f"{content} {body[0]}", start, body.end()
+            return
+        if last:
+            yield last
+        last = (last[0] + 1 if last else 0, body[0], body.start(), body.end())
+    if last:
+        yield last
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP, merge: bool = False, parity: bool = False) -> DataFrame:
@@ -73,15 +85,25 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
-            which, rows = [], []
-            for k, text in enumerate(b.column("text").to_pylist()):
-                for row in spans(text or "", size, overlap, merge, parity):
-                    which.append(k)
-                    rows.append((*row, len(row[1])))
-            if rows:
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(which)), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True))], names=["id", "chunk_index", "content", "char_start", "char_end", "char_length"])
+        which, rows = [], []
+
+        def given(b):
+            cols = list(zip(*rows, strict=True))
+            out = pa.RecordBatch.from_arrays([b.column("id").take(pa.array(which)), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True))], names=["id", "chunk_index", "content", "char_start", "char_end", "char_length"])
+            which.clear()
+            rows.clear()
+            return out
+
+        for whole in batches:
+            for b in slices(whole, "text", TEXT_BYTES):
+                for k, text in enumerate(b.column("text").to_pylist()):
+                    for row in iter_spans(text or "", size, overlap, merge, parity):
+                        which.append(k)
+                        rows.append((*row, len(row[1])))
+                        if len(rows) >= CHUNKS:
+                            yield given(b)
+                if rows:
+                    yield given(b)
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, chunk_index int, content string, char_start int, char_end int, char_length int").withColumnRenamed("id", id_col)
