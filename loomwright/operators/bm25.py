@@ -15,12 +15,14 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..session import settled
+from .batches import slices
 from .knn import Best
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_TERMS = 100_000  # distinct terms of queries that are broadcast
 SEEDS, BLOCK, MOST_SEGMENTS, PUSHED = 20, 128, 8, 500
 MOST_LOOKED_UP = 200_000  # rows of a query, a document and a term that are broadcast
+TOKENS = 100_000  # of texts that are counted in Python at once
 MOST_ASKED, GROUP_TERMS = 200_000, 8192  # rows (query, term) that go to all tasks at once, and that make one matrix
 
 
@@ -31,10 +33,11 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ids = cut.schema["doc_id"]
 
     def run(batches):
-        for b in batches:
-            counts = [Counter(t) for t in b.column("tokens").to_pylist()]
-            columns = [b.column("doc_id"), pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "terms", "tfs"])
+        for whole in batches:
+            for b in slices(whole, "tokens", TOKENS):
+                counts = [Counter(t) for t in b.column("tokens").to_pylist()]
+                columns = [b.column("doc_id"), pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "terms", "tfs"])
 
     return cut.mapInArrow(run, f"doc_id {ids.dataType.simpleString()}, dl int, terms array<string>, tfs array<int>")
 
