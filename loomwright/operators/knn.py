@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import TINY
 
 FEW_QUERIES, GROUP_QUERIES, BLOCK_ROWS, SLICE = 4096, 4096, 65_536, 1024
+LANE_QUERIES = 65_536  # queries of one task
 METRICS = ("l2", "ip", "cosine")
 
 
@@ -125,9 +127,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col:
     """query_id, id_col, score: for each query its k best of all ``vectors``, and some that others found elsewhere beat.
 
     The vectors are read once, however many queries there are. Up to ``few_queries`` (they are counted) go to every
-    task, and the vectors stay where they are; beyond that, groups of queries meet blocks of vectors, each
-    pair in a task of its own, which gets every block for each group. A task holds at most group_queries queries with k
-    rows each, block_rows vectors and a product of group_queries by SLICE numbers: for 768 components some 0.5 GB.
+    task, and the vectors stay where they are; beyond that, queries are dealt over as many lanes as tasks run at
+    once (more beyond LANE_QUERIES a lane), and each lane's task sees every vector once, so what is shuffled grows with
+    the vectors, not with their square (the products do). A task holds its lane's queries with k rows each in groups of
+    group_queries, block_rows vectors and a product of group_queries by SLICE numbers.
     Nearness by a matrix product chooses candidates, with a margin for rounding; their scores are then summed pair by
     pair. Vectors that are null or not finite, and pairs of different lengths, give no hit.
     """
@@ -151,14 +154,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col:
                 yield from t.to_batches(10_000)
 
         return own.mapInArrow(run, out)
-    groups, blocks = -(-n // group_queries), max(1, -(-vectors.count() // block_rows))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g")).select("*", each(blocks).alias("b"))
-    right = own.select("*", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).select("*", each(groups).alias("g"))
-
-    def pair(some: pa.Table, block: pa.Table) -> pa.Table:
-        met = _asking(some, k, metric)
-        _met(met, block.column("id"), block.column("vector"))
-        return pa.concat_tables([schema.empty_table(), *_answers(met, schema)])
+    lanes = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // LANE_QUERIES))
+    kind = own.schema["vector"].dataType
+    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int").alias("lane"), F.lit(False).alias("met"), "query_id", "query_vector", F.lit(None).cast(own.schema["id"].dataType).alias("id"), F.lit(None).cast(kind).alias("vector"))
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(True).alias("met"), F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("array<double>").alias("query_vector"), "id", "vector")
+
+    def lane(batches):
+        groups, waiting = [], []
+
+        def grouped():
+            while sum(t.num_rows for t in waiting) > 0:
+                some = pa.concat_tables(waiting)
+                groups.append(_asking(some.slice(0, group_queries), k, metric))
+                waiting[:] = [some.slice(group_queries)]
+
+        for whole in batches:
+            asks = whole.num_rows - (pa.compute.sum(whole.column("met")).as_py() or 0)  # these come first
+            if asks:
+                waiting.append(pa.Table.from_batches([whole.slice(0, asks)]).select(["query_id", "query_vector"]))
+            for s in range(asks, whole.num_rows, block_rows):
+                grouped()
+                b = whole.slice(s, block_rows)
+                for met in groups:
+                    _met(met, b.column("id"), b.column("vector"))
+        for met in groups:
+            for t in _answers(met, schema):
+                yield from t.to_batches(10_000)
 
-    return left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(pair, out)
+    return left.unionByName(right).repartitionById(lanes, F.col("lane")).sortWithinPartitions("met").mapInArrow(lane, out)
