@@ -3,8 +3,10 @@
 N-grams have one global order: those that are common in some part of the corpus come after all others, by
 how common they are, then by hash. A pair of sets that is similar enough shares an n-gram among the
 first of each (the prefix that a threshold leaves), so sets meet by the n-grams of their prefixes, and
-sizes and positions (what can still be shared) drop most pairs. Sets that may be linked form groups, and
-each group's sets go into a trie in the global order, common n-grams first. A place of the trie stands for an
+sizes and positions (what can still be shared) drop most pairs. What is left meets once more with sketches of
+the sets (a bit for each value of a few bits of the hashes, set if an odd number of n-grams has it), which differ in
+no more bits than the sets do in n-grams: that drops sets that have only some n-grams in common, of which there are
+more and more as the corpus grows. Sets that may be linked form groups, and each group's sets go into a trie in the global order, common n-grams first. A place of the trie stands for an
 interval of the group's sets, so a set counts its overlap with all sets that share a path at once, by its
 n-grams' places alone; sets that are joined to all of a group already don't ask.
 """
@@ -25,6 +27,8 @@ from .graph import ONE_TASK_EDGES, Forest, components
 WORDS, NUM, DEN = 5, 75, 100  # n-gram length; links have DEN * intersection >= NUM * union
 LOCALLY_COMMON, MOST_COMMON, BLOCK_NGRAMS = 3, 1_000_000, 4_000_000
 LONG_LIST, TRIE_SETS, TRIE_NGRAMS, HUBS, POSTINGS_A_TASK = 256, 2048, 1_000_000, 8, 1_000_000
+LONGEST, SKETCHED_A_TASK = 64, 250_000  # lists beyond so many times LONG_LIST are contracted without sketches
+LEAST_BITS, MOST_BITS = 128, 4096  # of a sketch
 MOST_BROADCAST = 1_000_000  # rows of one hash
 LARGE_SET, MORE_SHARED = 600, 12  # sets of so many n-grams must share a twelfth of them in longer prefixes
 POSTING = [("h", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")]
@@ -123,6 +127,48 @@ def set_key(s) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def sketch(s) -> bytes:
+    """For each value of some bits of the hashes: has an odd number of n-grams it? With at least as many bits as
+    n-grams, unrelated sets differ in almost half of them."""
+    import numpy as np
+
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches by index; longer ones are folded to be compared with shorter ones."""
+
+    def __init__(self, sketches: list[bytes]):
+        import numpy as np
+
+        self.size, self.rows = np.array([len(x) for x in sketches], np.int64), {}
+        rows, held = None, np.empty(0, np.int64)
+        for size in sorted(set(self.size.tolist()), reverse=True):
+            while rows is not None and rows.shape[1] * 8 > size:
+                half = rows.shape[1] // 2
+                rows = rows[:, :half] ^ rows[:, half:]
+            own = np.flatnonzero(self.size == size)
+            data = np.frombuffer(b"".join(sketches[k] for k in own.tolist()), "<u8").reshape(len(own), -1)
+            rows, held = data if rows is None else np.concatenate([rows, data]), np.concatenate([held, own])
+            place = np.full(len(sketches), -1, np.int64)
+            place[held] = np.arange(len(held))
+            self.rows[size] = rows, place
+
+    def differ(self, a, b):
+        """At least so many n-grams are in only one of the sets a and b (indices, a's sketches are no longer)."""
+        import numpy as np
+
+        out = np.zeros(len(a), np.int64)
+        for size, (rows, place) in self.rows.items():
+            own = np.flatnonzero(self.size[a] == size)
+            for k in range(0, len(own), 50_000):
+                i = own[k : k + 50_000]
+                out[i] = np.bitwise_count(rows[place[a[i]]] ^ rows[place[b[i]]]).sum(1)
+        return out
+
+
 class Order:
     """The global order of n-grams: how often each was counted among the common ones (0 for all others), then
     by hash."""
@@ -186,7 +232,7 @@ def must_share(n):
 
 
 def _describe(words: int, locally_common: int):
-    """A row per document (kind 0: id, doc, key, n) and per locally common n-gram (kind 1: key, n)."""
+    """A row per document (kind 0: id, doc, key, n, sketch) and per locally common n-gram (kind 1: key, n)."""
 
     def run(batches):
         import numpy as np
@@ -203,22 +249,23 @@ def _describe(words: int, locally_common: int):
             grams, counts = grams[counts >= locally_common].view(np.int64), counts[counts >= locally_common]
             for k in range(0, len(grams), 50_000):
                 own = len(grams[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(own, np.int32)), pa.nulls(own, id_type), pa.nulls(own, pa.int64()), pa.array(grams[k : k + 50_000]), pa.array(counts[k : k + 50_000].astype(np.int64))], names=["kind", "id", "doc", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(own, np.int32)), pa.nulls(own, id_type), pa.nulls(own, pa.int64()), pa.array(grams[k : k + 50_000]), pa.array(counts[k : k + 50_000].astype(np.int64)), pa.nulls(own, pa.binary())], names=["kind", "id", "doc", "key", "n", "sketch"])
 
         id_type = None
         for whole in batches:
             id_type = whole.column("id").type
             for k in range(0, whole.num_rows, 1000):
-                b, keys, sizes = whole.slice(k, 1000), [], []
+                b, keys, sizes, sketches = whole.slice(k, 1000), [], [], []
                 for _, s in shingle.batches(b.column("text").to_pylist()):
                     key = set_key(s) if len(s) else 0
                     keys.append(key)
                     sizes.append(len(s))
+                    sketches.append(sketch(s) if len(s) else None)
                     if len(s) and key not in seen:
                         seen.add(key)
                         held.append(s)
                         size += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column("id"), b.column("doc"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["kind", "id", "doc", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column("id"), b.column("doc"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["kind", "id", "doc", "key", "n", "sketch"])
                 if size > BLOCK_NGRAMS:
                     yield from common()
                     size, seen = 0, set()
@@ -335,10 +382,17 @@ def may_link(n1, p1, n2, p2, num: int, den: int):
     return (n1 * den >= n2 * num) & (p1 <= n1 - (-(-2 * n1 * num // (num + den)))) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
 
 
-def _meet(num: int, den: int, parts: int, long_list: int):
-    """One part's postings: candidate edges, contracted to stars. Pairs that must share more n-grams than there
-    are parts share several in at least one part; there they are counted. (N-grams of long lists aren't, but
-    such a list joins all of its sets that may be similar, and what stands for one joins all by size alone.)"""
+def _met(h, key, n, p):
+    for k in range(0, len(h), 50_000):
+        cols = [pa.array(x[k : k + 50_000].astype("i8")) for x in (h.view("i8"), key, n, p)]
+        yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.nulls(len(cols[0]), pa.int64()), *cols[2:]], names=["h", "a", "b", "n", "p"])
+
+
+def _meet(num: int, den: int, parts: int, long_list: int, longest: int):
+    """One part's postings: those that are in a pair that may be similar (h, a: the set, n, p), and edges (a, b)
+    that need no further look, contracted to stars. Pairs that must share more n-grams than there are parts
+    share several in at least one part; there they are counted. Postings of longer lists all go on, those of
+    lists beyond ``longest`` are joined by size alone."""
 
     def run(batches):
         import numpy as np
@@ -361,33 +415,86 @@ def _meet(num: int, den: int, parts: int, long_list: int):
             postings = np.concatenate(blocks)
             blocks.clear()
             postings, starts, length = _lists(postings)
-            for at, n in zip(starts[length > long_list].tolist(), length[length > long_list].tolist(), strict=True):
+            for at, n in zip(starts[length > longest].tolist(), length[length > longest].tolist(), strict=True):
                 for x, y in _long_list(postings[at : at + n], num, den)[0]:
                     forest.join(x, y)
-            many = (length > 1) & (length <= long_list)
-            postings = postings[np.repeat(many, length)]
-            n, p = postings["n"].astype(np.int64), postings["p"].astype(np.int64)
-            key, often, counted, stands = postings["k"], -(-must_share(n) // parts), [], postings["p"] == STANDS
+            length = np.repeat(length, length)
+            more = (length > 1) & (length <= longest)
+            postings, length = postings[more], length[more]
+            h, n, p = postings["h"], postings["n"].astype(np.int64), postings["p"].astype(np.int64)
+            key, often, counted, used = postings["k"], -(-must_share(n) // parts), [], length > long_list
             for d in range(1, long_list):
-                i = np.flatnonzero(postings["h"][d:] == postings["h"][:-d])
+                i = np.flatnonzero((h[d:] == h[:-d]) & ~(used[d:] & used[:-d]))
                 if not len(i):
                     break
                 i = i[n[i] * den >= n[i + d] * num]
-                sure = stands[i] | stands[i + d]
-                by_size, i = i[sure], i[~sure]
                 many = often[i] > 1
                 if many.any():
                     m = i[many]
-                    counted.append(np.stack([key[m], key[m + d], often[m]], 1))
+                    counted.append(np.stack([key[m], key[m + d], often[m], m, m + d], 1))
                 i = i[~many]
-                i = np.concatenate([by_size, i[may_link(n[i], p[i], n[i + d], p[i + d], num, den)]])
-                for x, y in np.unique(np.stack([key[i], key[i + d]], 1), axis=0).tolist():
-                    forest.join(x, y)
+                i = i[_by_place(n, p, i, d, num, den)]
+                used[i] = used[i + d] = True
             if counted:
-                pairs, times = np.unique(np.concatenate(counted), axis=0, return_counts=True)
-                for x, y in pairs[times >= pairs[:, 2]][:, :2].tolist():
-                    forest.join(x, y)
-        yield from _edge_batches(forest.rows())
+                counted = np.concatenate(counted)
+                _, pair, times = np.unique(counted[:, :2], axis=0, return_inverse=True, return_counts=True)
+                used[counted[times[pair.ravel()] >= counted[:, 2], 3:]] = True
+            yield from _met(h[used], key[used], n[used], p[used])
+        for b in _edge_batches(forest.rows()):
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, *b.columns, none, none], names=["h", "a", "b", "n", "p"])
+        trim()
+
+    return run
+
+
+def _by_place(n, p, i, d: int, num: int, den: int):
+    """Which of the pairs i and i + d of a list may be linked by their positions; what stands for a list may be."""
+    return (p[i] == STANDS) | (p[i + d] == STANDS) | may_link(n[i], p[i], n[i + d], p[i + d], num, den)
+
+
+def _agree(num: int, den: int, parts: int):
+    """Whole lists of postings with sketches (h, key, n, p, sketch): edges between sets that may be similar by size,
+    position and sketch, contracted to stars. Sets that are joined already aren't compared again."""
+
+    def run(batches):
+        import numpy as np
+
+        begin()
+        held, sketches = [], []
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in ("h", "key", "n", "p")])
+            sketches += b.column("sketch").to_pylist()
+        if not sketches:
+            return
+        h, key, n, p = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        keys, first, own = np.unique(key, return_index=True, return_inverse=True)
+        of = Sketches([sketches[k] for k in first.tolist()])
+        sketches.clear()
+        by = np.lexsort((key, n, h))
+        h, n, p, own = h[by], n[by], p[by], own[by]
+        cuts = np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)]
+        end, often = np.repeat(cuts[1:], np.diff(cuts)), -(-must_share(n) // parts)
+        forest, root, i, d, known = Forest(), np.arange(len(keys)), np.arange(len(h)), 0, 0
+        while True:
+            d += 1
+            i = i[i + d < end[i]]
+            i = i[n[i] * den >= n[i + d] * num]  # sizes ascend: later ones fit no better
+            if not len(i):
+                break
+            j = i[root[own[i]] != root[own[i + d]]]
+            j = j[(often[j] > 1) | _by_place(n, p, j, d, num, den)]
+            sure = (p[j] == STANDS) | (p[j + d] == STANDS)
+            most = n[j] + n[j + d] - 2 * -(-(n[j] + n[j + d]) * num // (num + den))
+            j = j[sure | (of.differ(own[j], own[j + d]) <= most)]
+            for x, y in np.unique(np.stack([own[j], own[j + d]], 1), axis=0).tolist():
+                forest.join(x, y)
+            if d & (d - 1) == 0 and len(forest.up) > known:
+                known = len(forest.up)
+                for x in list(forest.up):
+                    root[x] = forest.root(x)
+        yield from _edge_batches([(int(keys[x]), int(keys[y])) for x, y in forest.rows()])
         trim()
 
     return run
@@ -521,7 +628,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    described = T.StructType([T.StructField("kind", T.IntegerType()), base.schema["id"], *(T.StructField(c, T.LongType()) for c in ("doc", "key", "n"))])
+    described = T.StructType([T.StructField("kind", T.IntegerType()), base.schema["id"], *(T.StructField(c, T.LongType()) for c in ("doc", "key", "n")), T.StructField("sketch", T.BinaryType())])
     raw = base.withColumn("doc", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
     rows = stored(raw.mapInArrow(_describe(words, locally_common), described), "ngram-docs")
     described = rows.filter("kind = 0").select("id", "doc", "key", "n")
@@ -536,8 +643,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(parts, math.ceil(total / POSTINGS_A_TASK))
 
     sent = raw.select("text").mapInArrow(_send(common, parts, num, den, words, long_list), "part int, postings binary, edges binary")
-    candidates = sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(num, den, parts, long_list), "a long, b long")
-    groups = components(candidates, one_task_edges=one_task_edges)
+    met = stored(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(num, den, parts, long_list, LONGEST * long_list), "h long, a long, b long, n long, p long"), "ngram-met")
+    postings = met.filter("b is null").select("h", F.col("a").alias("key"), "n", "p")
+    sketched = postings.join(rows.filter("kind = 0").select("key", "sketch").dropDuplicates(["key"]), "key")
+    agree = sketched.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(postings.count() / SKETCHED_A_TASK)), "h").mapInArrow(_agree(num, den, parts), "a long, b long")
+    groups = components(met.filter("b is not null").select("a", "b").unionByName(agree), one_task_edges=one_task_edges)
     groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "ngram-groups")
 
     # one text of each candidate
@@ -608,7 +718,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     doc, nth = fresh(docs, "_doc"), fresh(docs, "_nth")
     marked = docs.withColumn(doc, F.xxhash64(text_or_empty(text_col)))
     same = lambda x: (F.col(doc) == x["doc"]) & F.col(f"`{id_col}`").eqNullSafe(x["id"])
-    kept = marked.join(gone, same(gone), "left_anti")
+    few = F.broadcast(gone) if gone.count() <= MOST_BROADCAST // 2 else gone  # else all texts are shuffled
+    kept = marked.join(few, same(gone), "left_anti")
     if not (again := stored(again, "ngram-repeats")).isEmpty():  # rows of one id and text: number those
         repeated = kept.join(again, same(again), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(doc, f"`{id_col}`").orderBy(F.lit(1)))).filter(F.col(nth) == 1).drop(nth)
         kept = kept.join(again, same(again), "left_anti").unionByName(repeated)

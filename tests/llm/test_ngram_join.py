@@ -173,3 +173,50 @@ def test_families_in_several_blocks_are_one(spark, partitions, long_list):
     got = {r.doc_id: r.component_id for r in N.link_components(docs, long_list=long_list).collect()}
     assert {got[p * 1000 + k] for p in range(2) for k in range(300)} == {0}
     assert Counter((i, len(shingles(t)), got[i]) for i, t in rows) == brute(rows)
+
+
+def _chained(r):
+    """Texts of 100 words; each has a run of 8 words that only the next one has too, and one of 8 that three others have.
+    The last ten are copies of others but for two words."""
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    runs, hubs = [[word() for _ in range(8)] for _ in range(121)], [[word() for _ in range(8)] for _ in range(30)]
+    texts = [runs[k] + [word() for _ in range(38)] + hubs[k // 4] + [word() for _ in range(38)] + runs[k + 1] for k in range(120)]
+    texts += [[word(), *w[1:-1], word()] for w in texts[:100:10]]
+    return [(k, " ".join(w)) for k, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize("long_list,longest", [(256, 64), (3, 64), (3, 1)])
+def test_sets_with_some_ngrams_in_common_are_no_group(spark, monkeypatch, long_list, longest):
+    """Only sets of linked documents go on to be compared whole, unless their list is beyond any that is looked at."""
+    needed, stored = [], N.stored
+
+    def watched(df, tag, *rest):
+        out = stored(df, tag, *rest)
+        needed.extend([out.count()] if tag == "ngram-needed" else [])
+        return out
+
+    monkeypatch.setattr(N, "stored", watched)
+    monkeypatch.setattr(N, "LONGEST", longest, raising=False)
+    rows = _chained(random.Random(4))
+    spread = sorted(rows, key=lambda x: x[0] % 4 if x[0] < 120 else (x[0] * 10 + 1) % 4)  # a block has few of a list
+    got = N.link_components(spark.createDataFrame(spark.sparkContext.parallelize(spread, 4), "doc_id long, text string"), long_list=long_list)
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+    assert needed == [20] if longest > 1 else needed[0] > 20
+
+
+def test_sketches_differ_no_more_than_sets():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    draw = lambda n: np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+    sets = [draw(int(n)) for n in [1, 2, 100, 128, 129, 300, 900, 5000]]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10 + 1], draw(len(s) // 4 + 1)]) for s in sets]
+    sets.sort(key=len)
+    of = N.Sketches([N.sketch(s) for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    apart = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    found = of.differ(a, b)
+    assert (found <= apart).all() and found.max() > 1500
+    size = np.array([len(s) for s in sets])
+    alike = (size[a] > 50) & (size[a] <= 4096) & (size[a] * 100 >= 75 * size[b]) & (apart > size[a] * 1.5)
+    assert alike.any() and (found[alike] > (size[a] + size[b] - 2 * -(-(size[a] + size[b]) * 75 // 175))[alike]).all()
